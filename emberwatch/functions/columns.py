@@ -5,7 +5,7 @@ from __future__ import annotations
 import fnmatch
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -92,6 +92,30 @@ def glob_to_regex(pattern: str) -> str:
     return f"(?s)^(?:{body})$"
 
 
+def literal(value) -> str:
+    """SQL text of a constant."""
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool):
+        return str(value).upper()
+    if isinstance(value, (int, float)):
+        return str(value)
+    return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def pick(values, index: Column) -> Column:
     """The entry of a fixed list at a zero-based index; '' in the list means missing."""
-    return filled(F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int")))
+    entries = F.expr("array(" + ", ".join(literal(v) for v in values) + ")")
+    return filled(F.element_at(entries, (index + 1).cast("int")))
+
+
+def fence(df: DataFrame, names: list[str]) -> DataFrame:
+    """Keep later filters on costly columns from being pushed below them.
+
+    Pushing a filter down repeats the expressions it reads. For wide predicate
+    sets that multiplies the work, so the columns pass through a one-row generator,
+    which filters on its output do not cross.
+    """
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in names]
+    packed = df.select(*rest, F.explode_outer(F.array(F.struct(*names))).alias("__f"))
+    return packed.select(*rest, *[F.col(f"__f.{n}").alias(n) for n in names])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberwatch.functions.columns import col, contains_any, filled
+from emberwatch.functions.columns import col, contains_any, filled, literal
 
 # ---------------------------------------------------------------------------
 # Fixed values. (pattern, label, severity, technique); earlier rows win.
@@ -94,14 +94,24 @@ SERVER_DAEMONS = ["nginx", "apache", "httpd"]
 
 
 def _detail(label: str, severity: int = 0, technique: str = "") -> Column:
-    return F.struct(F.lit(label).alias("label"), F.lit(severity).alias("severity"), F.lit(technique).alias("technique"))
+    return F.expr(_detail_sql(label, severity, technique))
+
+
+def _detail_sql(label: str, severity: int, technique: str) -> str:
+    return f"named_struct('label', {literal(label)}, 'severity', {severity}, 'technique', {literal(technique)})"
+
+
+def _search_form(pattern: str) -> str:
+    """Same pattern for a search: a leading or trailing run of anything only costs backtracking."""
+    pattern = pattern.removeprefix(".*").removeprefix("/?")
+    return pattern.removesuffix(".*")
 
 
 def match_table(target: Column, table) -> Column:
     """Detail struct of the first pattern found in ``target``, else null."""
     out = None
     for pattern, label, severity, technique in table:
-        hit = target.rlike("(?i)" + pattern)
+        hit = target.rlike("(?i)" + _search_form(pattern))
         value = _detail(label, severity, technique)
         out = F.when(hit, value) if out is None else out.when(hit, value)
     return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberwatch.functions.columns import col, contains_any, filled, text, truth
+from emberwatch.functions.columns import col, contains_any, fence, filled, text, truth
 
 # ---------------------------------------------------------------------------
 # Fixed values of the score.
@@ -163,7 +163,7 @@ def seeds(df: DataFrame, start=None, end=None, min_score: int = THREAT_SCORE, ne
         df = df.where(F.col("ts") <= F.to_timestamp(F.lit(end)))
     if newest is not None:
         df = df.orderBy(F.col("ts").desc(), F.col("seq").desc()).limit(newest)
-    scored = with_threat(df)
+    scored = fence(with_threat(df), ["score", "is_threat", "severity", "reasons"])
     keep = (F.col("score") >= min_score) | truth(col("event.dataset").contains("cowrie"))
     return backfill(scored.where(keep))
 

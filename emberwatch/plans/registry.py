@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from emberwatch.session import apply_runtime_conf
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -15,8 +17,7 @@ def query(name: str, sql: str | None = None):
 
     def wrap(fn):
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            spark.conf.set("spark.sql.session.timeZone", "UTC")
-            return fn(spark, folder)
+            return fn(apply_runtime_conf(spark), folder)
 
         run.__name__, run.__doc__ = name, fn.__doc__
         QUERIES[name] = run

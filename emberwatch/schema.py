@@ -40,32 +40,27 @@ DEFAULT_SEVERITY = 5
 FRAMEWORK = "MITRE ATT&CK"
 
 
-def _rebuild(dtype: T.DataType, c: Column, given: dict) -> Column:
-    """Struct of ``dtype`` whose leaves come from ``given`` (path → Column), missing leaves null."""
+def _nested(dtype: T.DataType, path: str, given: dict[str, str]) -> str:
+    """SQL text of one event column whose leaves are the flat columns in ``given``, other leaves null."""
+    if path in given:
+        return f"CAST(`{given[path]}` AS {dtype.simpleString()})"
     if isinstance(dtype, T.StructType):
-        return F.struct(*[
-            _rebuild(f.dataType, None, {k.split(".", 1)[1]: v for k, v in given.items() if k.startswith(f.name + ".")}
-                     | ({"": given[f.name]} if f.name in given else {})).alias(f.name)
-            for f in dtype.fields
-        ])
-    return given.get("", F.lit(None)).cast(dtype)
-
-
-def event_columns(values: dict[str, Column]) -> list[Column]:
-    """All event columns built from dotted paths; anything not given is null."""
-    out = []
-    for f in event_schema().fields:
-        mine = {}
-        for path, c in values.items():
-            if path == f.name:
-                mine[""] = c
-            elif path.startswith(f.name + "."):
-                mine[path[len(f.name) + 1:]] = c
-        if isinstance(f.dataType, T.StructType) and "" not in mine:
-            out.append(_rebuild(f.dataType, None, mine).alias(f.name))
-        else:
-            out.append(mine.get("", F.lit(None)).cast(f.dataType).alias(f.name))
-    return out
+        parts = ", ".join(f"'{f.name}', {_nested(f.dataType, f'{path}.{f.name}', given)}" for f in dtype.fields)
+        return f"named_struct({parts})"
+    return f"CAST(NULL AS {dtype.simpleString()})"
+
+
+def build_events(df: DataFrame, values: dict[str, Column], keep: dict[str, Column] | None = None) -> DataFrame:
+    """Events from expressions by dotted path, plus the columns in ``keep``.
+
+    The leaves are computed in a flat projection first. Later operators then
+    read plain columns instead of repeating the expressions behind them.
+    """
+    keep = keep or {}
+    names = {path: f"__v{i}" for i, path in enumerate(values)}
+    flat = df.select(*[c.alias(n) for n, c in keep.items()], *[c.alias(names[p]) for p, c in values.items()])
+    return flat.select(*keep, *[
+        F.expr(_nested(f.dataType, f.name, names)).alias(f.name) for f in event_schema().fields])
 
 
 def event_schema() -> T.StructType:

@@ -13,10 +13,25 @@ SESSION_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Label, score and rule expressions are wide. Above this size HotSpot refuses to
+    # compile the generated method, so Spark should split the expressions instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
+# The part of the defaults that can be set on a session somebody else started.
+RUNTIME_CONF = ["spark.sql.session.timeZone", "spark.sql.codegen.hugeMethodLimit"]
+
+
+def apply_runtime_conf(spark: SparkSession) -> SparkSession:
+    for key in RUNTIME_CONF:
+        spark.conf.set(key, SESSION_CONF[key])
+    return spark
+
+
 def get_session(app: str = "emberwatch", master: str | None = None, **conf: str) -> SparkSession:
     """Session with the defaults the operators expect; on a cluster leave ``master`` unset."""
     builder = SparkSession.builder.appName(app)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberwatch.functions.columns import basename, iso, pick
-from emberwatch.schema import event_columns
+from emberwatch.schema import build_events
 
 CATEGORIES = {"signup": "authentication", "click": "process", "view": "file", "purchase": "network", "error": "memory"}
 
@@ -84,7 +84,8 @@ def unified_events(spark: SparkSession, folder: str) -> DataFrame:
     """Every row of the activity table as a unified event with ``ts``, ``seq`` and ``case_id``."""
     a = activity(spark, folder)
     k, uid = F.col("k"), F.col("user_id")
-    category = F.coalesce(*[F.when(F.col("event_type") == t, F.lit(c)) for t, c in CATEGORIES.items()])
+    a = a.withColumn("category", F.coalesce(*[F.when(F.col("event_type") == t, F.lit(c)) for t, c in CATEGORIES.items()]))
+    category = F.col("category")
     is_ = {c: category == c for c in CATEGORIES.values()}
     dataset = (
         F.when(is_["process"], pick(["windows", "auditd", "cowrie"], k % 3))
@@ -93,6 +94,8 @@ def unified_events(spark: SparkSession, folder: str) -> DataFrame:
         .when(is_["file"], pick(["auditd", "windows"], k % 2))
         .otherwise(F.lit("mem_scanner"))
     )
+    a = a.withColumn("dataset", dataset)
+    dataset = F.col("dataset")
     action = (
         F.when(is_["process"] & (dataset == "cowrie"), F.lit("input"))
         .when(is_["process"], F.lit("process_started"))
@@ -156,7 +159,5 @@ def unified_events(spark: SparkSession, folder: str) -> DataFrame:
         "memory.anomalies": F.when(is_["memory"], F.when(k % 3 == 0, F.array(first, second)).otherwise(F.array(first))),
         "tags": F.when(k % 25 == 7, F.array(F.lit("attack"))),
     }
-    return a.select(
-        F.col("event_id").alias("seq"), F.concat(F.lit("case-"), uid.cast("string")).alias("case_id"), "ts",
-        *event_columns(values),
-    )
+    keep = {"seq": F.col("event_id"), "case_id": F.concat(F.lit("case-"), uid.cast("string")), "ts": F.col("ts")}
+    return build_events(a, values, keep)
