@@ -142,8 +142,11 @@ def technique_nodes(tagged: DataFrame) -> DataFrame:
 
 
 def technique_context(tagged: DataFrame) -> DataFrame:
-    """Distinct addresses, processes, users and hosts of each node, one row per value."""
-    long = tagged.select(*NODE, "seq", F.explode(context()).alias("c"))
+    """Distinct addresses, processes, users and hosts of each node, one row per value.
+
+    ``tagged`` carries the ``context()`` entries of its event in a column ``context``.
+    """
+    long = tagged.select(*NODE, "seq", F.explode("context").alias("c"))
     return long.groupBy(*NODE, F.col("c.kind").alias("kind"), F.col("c.value").alias("value")).agg(
         F.count_distinct("seq").alias("events"))
 

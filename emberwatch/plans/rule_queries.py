@@ -194,7 +194,8 @@ SELECT technique_id, tactic_id, kind, value, count(DISTINCT seq) AS events FROM
   UNION ALL SELECT technique_id, tactic_id, seq, 'host', hostname FROM tagged
 ) WHERE value IS NOT NULL GROUP BY ALL""")
 def technique_context(spark, folder):
-    return T.technique_context(T.tag_hits(_hits(spark, folder)))
+    ev = unified_events(spark, folder).withColumn("context", T.context())
+    return T.technique_context(T.tag_hits(X.detect(ev, starter_rules(spark), keep=["seq", "context"])))
 
 
 @query("nodes_of_tactic", ND + "SELECT technique_id, event_count FROM nodes WHERE tactic_id = 'TA0002'")

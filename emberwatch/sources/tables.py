@@ -77,7 +77,7 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def activity(spark: SparkSession, folder: str) -> DataFrame:
     k = F.regexp_extract("props", r"\d+", 0).cast("int")
-    return load(spark, folder, "events").withColumn("k", k)
+    return load(spark, folder, "events").withColumns({"k": k, "ts": F.col("ts").cast("timestamp")})
 
 
 def unified_events(spark: SparkSession, folder: str) -> DataFrame:
