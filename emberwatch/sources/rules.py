@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,28 +11,34 @@ detection_json string, tags array<string>, file_path string
 """
 
 
-def _parse(batches):
-    import pandas as pd
-    import yaml
-
-    for pdf in batches:
-        out = []
-        for path, content in zip(pdf["path"], pdf["content"]):
-            try:
-                doc = yaml.safe_load(bytes(content).decode("utf-8"))
-                if not doc or "detection" not in doc or "logsource" not in doc:
+def _parser():
+    """YAML files to rule rows, one Arrow batch at a time."""
+    def parse(batches):
+        import json
+
+        import pandas as pd
+        import yaml
+
+        for pdf in batches:
+            out = []
+            for path, content in zip(pdf["path"], pdf["content"]):
+                try:
+                    doc = yaml.safe_load(bytes(content).decode("utf-8"))
+                    if not doc or "detection" not in doc or "logsource" not in doc:
+                        continue
+                    source = doc["logsource"] or {}
+                    out.append({
+                        "id": str(doc.get("id", "")), "title": str(doc.get("title", "")), "status": str(doc.get("status", "unknown")),
+                        "level": str(doc.get("level", "medium")), "product": source.get("product"), "category": source.get("category"),
+                        "service": source.get("service"), "detection_json": json.dumps(doc["detection"], default=str),
+                        "tags": [str(t) for t in doc.get("tags") or []], "file_path": path,
+                    })
+                except Exception:  # noqa: BLE001  a file that does not parse is skipped
                     continue
-                source = doc["logsource"] or {}
-                out.append({
-                    "id": str(doc.get("id", "")), "title": str(doc.get("title", "")), "status": str(doc.get("status", "unknown")),
-                    "level": str(doc.get("level", "medium")), "product": source.get("product"), "category": source.get("category"),
-                    "service": source.get("service"), "detection_json": json.dumps(doc["detection"], default=str),
-                    "tags": [str(t) for t in doc.get("tags") or []], "file_path": path,
-                })
-            except Exception:  # noqa: BLE001  a file that does not parse is skipped
-                continue
-        yield pd.DataFrame(out, columns=["id", "title", "status", "level", "product", "category", "service",
-                                         "detection_json", "tags", "file_path"])
+            yield pd.DataFrame(out, columns=["id", "title", "status", "level", "product", "category", "service",
+                                             "detection_json", "tags", "file_path"])
+
+    return parse
 
 
 def attack_tags(tags: Column, kind: str) -> Column:
@@ -53,7 +57,7 @@ def load_rules(spark: SparkSession, path: str) -> DataFrame:
     """All ``*.yml`` below ``path``; files without detection or logsource are left out."""
     files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.yml").option("recursiveFileLookup", "true")
              .load(path).select("path", "content"))
-    return with_attack_tags(files.mapInPandas(_parse, RULE_DDL))
+    return with_attack_tags(files.mapInPandas(_parser(), RULE_DDL))
 
 
 def select_rules(rules: DataFrame, product: str | None = None, category: str | None = None, service: str | None = None) -> DataFrame:

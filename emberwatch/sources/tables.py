@@ -161,3 +161,115 @@ def unified_events(spark: SparkSession, folder: str) -> DataFrame:
     }
     keep = {"seq": F.col("event_id"), "case_id": F.concat(F.lit("case-"), uid.cast("string")), "ts": F.col("ts")}
     return build_events(a, values, keep)
+
+
+# ---------------------------------------------------------------------------
+# Knowledge base derived from the trade tables: parts act as techniques,
+# suppliers as groups, customers as software, nations as campaigns and regions
+# as mitigations. Order lines tell who uses what.
+# ---------------------------------------------------------------------------
+TACTIC_SLUGS = [
+    "reconnaissance", "resource-development", "initial-access", "execution", "persistence", "privilege-escalation", "defense-evasion",
+    "credential-access", "discovery", "lateral-movement", "collection", "command-and-control", "exfiltration", "impact",
+]
+PLATFORMS = ["Windows", "Linux", "macOS"]
+
+
+def _object(df: DataFrame, kind, key: str, **cols: Column) -> DataFrame:
+    none = F.array().cast("array<string>")
+    kind = F.lit(kind) if isinstance(kind, str) else kind
+    base = {
+        "id": F.concat(kind, F.lit("--"), F.col(key).cast("string")), "type": kind, "name": F.lit(""), "description": F.lit(""),
+        "created": F.lit("2020-01-01").cast("timestamp"), "modified": F.lit("2021-01-01").cast("timestamp"),
+        "revoked": F.lit(False), "deprecated": F.lit(False), "attack_id": F.lit(""), "aliases": none, "tactics": none,
+        "platforms": none, "is_subtechnique": F.lit(False), "tactic_refs": none,
+    }
+    return df.select(*[c.alias(n) for n, c in {**base, **cols}.items()])
+
+
+def knowledge_objects(spark: SparkSession, folder: str) -> DataFrame:
+    size, pk = F.col("p_size"), F.col("p_partkey")
+    slug = F.expr("array(" + ", ".join(f"'{t}'" for t in TACTIC_SLUGS) + ")")
+    tech = _object(
+        load(spark, folder, "part"), "attack-pattern", "p_partkey", name=F.col("p_name"), description=F.col("p_type"),
+        created=F.date_add(F.lit("2020-01-01").cast("date"), (pk % 1000).cast("int")).cast("timestamp"),
+        modified=F.date_add(F.lit("2021-01-01").cast("date"), (pk % 700).cast("int")).cast("timestamp"),
+        revoked=size % 17 == 0, deprecated=size % 19 == 0, attack_id=F.concat(F.lit("T"), (1000 + pk).cast("string")),
+        tactics=F.array_distinct(F.array(F.element_at(slug, size % 14 + 1), F.element_at(slug, (size * 3 + 1) % 14 + 1))),
+        platforms=F.array(pick(PLATFORMS, pk % 3)), is_subtechnique=size % 5 == 0)
+    sk, nk = F.col("s_suppkey"), F.col("s_nationkey").cast("string")
+    group = _object(
+        load(spark, folder, "supplier"), "intrusion-set", "s_suppkey", name=F.col("s_name"),
+        description=F.concat(F.lit("Operates from nation "), nk), revoked=sk % 23 == 0,
+        attack_id=F.concat(F.lit("G"), F.lpad(sk.cast("string"), 6, "0")),
+        aliases=F.array(F.col("s_name"), F.concat(F.lit("Actor "), sk.cast("string"))))
+    software = _object(
+        load(spark, folder, "customer"), F.when(F.col("c_acctbal") < 0, F.lit("malware")).otherwise(F.lit("tool")), "c_custkey",
+        name=F.col("c_name"), attack_id=F.concat(F.lit("S"), F.col("c_custkey").cast("string")),
+        aliases=F.array(F.concat_ws("-", "c_mktsegment", F.col("c_custkey").cast("string"))), platforms=F.array(pick(PLATFORMS, F.col("c_custkey") % 3)))
+    campaign = _object(load(spark, folder, "nation"), "campaign", "n_nationkey", name=F.col("n_name"))
+    mitigation = _object(load(spark, folder, "region"), "course-of-action", "r_regionkey", name=F.col("r_name"))
+    return tech.unionByName(group).unionByName(software).unionByName(campaign).unionByName(mitigation)
+
+
+def knowledge_relationships(spark: SparkSession, folder: str) -> DataFrame:
+    def ref(kind, key):
+        kind = F.lit(kind) if isinstance(kind, str) else kind
+        return F.concat(kind, F.lit("--"), F.col(key).cast("string"))
+
+    def rel(df, a, kind, b):
+        return df.select(a.alias("source_ref"), F.lit(kind).alias("relationship_type"), b.alias("target_ref"), F.lit(False).alias("revoked")).distinct()
+
+    part, supplier = load(spark, folder, "part"), load(spark, folder, "supplier")
+    kind = F.when(F.col("c_acctbal") < 0, F.lit("malware")).otherwise(F.lit("tool"))
+    line = load(spark, folder, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey")
+    bought = line.join(load(spark, folder, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).join(
+        load(spark, folder, "customer").select("c_custkey", "c_acctbal"), F.col("o_custkey") == F.col("c_custkey"))
+    nation = load(spark, folder, "nation")
+    frames = [
+        rel(line, ref("intrusion-set", "l_suppkey"), "uses", ref("attack-pattern", "l_partkey")),
+        rel(bought, ref("intrusion-set", "l_suppkey"), "uses", ref(kind, "c_custkey")),
+        rel(bought, ref(kind, "c_custkey"), "uses", ref("attack-pattern", "l_partkey")),
+        rel(nation.join(supplier, F.col("n_nationkey") == F.col("s_nationkey")), ref("campaign", "n_nationkey"), "attributed-to", ref("intrusion-set", "s_suppkey")),
+        rel(part.withColumn("r", F.col("p_size") % 5), ref("course-of-action", "r"), "mitigates", ref("attack-pattern", "p_partkey")),
+        rel(part.where(F.col("p_size") % 5 == 0).withColumn("parent", F.col("p_partkey") - 1), ref("attack-pattern", "p_partkey"), "subtechnique-of", ref("attack-pattern", "parent")),
+        rel(part.where(F.col("p_size") % 17 == 0).withColumn("next", F.col("p_partkey") + 1), ref("attack-pattern", "p_partkey"), "revoked-by", ref("attack-pattern", "next")),
+    ]
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def release_versions(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as releases of their customer's collection."""
+    return load(spark, folder, "orders").select(
+        F.col("o_custkey").alias("collection"), F.col("o_orderkey").alias("version"), F.col("o_orderdate").cast("timestamp").alias("modified"),
+        F.col("o_orderdate").cast("timestamp").alias("created"), F.col("o_orderpriority").alias("name"), F.col("o_orderstatus").alias("description"))
+
+
+def _address(key: str) -> Column:
+    return F.concat_ws(".", F.lit("10.0"), (F.col(key) % 8).cast("string"), (F.col(key) % 250).cast("string"))
+
+
+def local_indicators(spark: SparkSession, folder: str) -> DataFrame:
+    s = load(spark, folder, "supplier")
+    rows = s.groupBy(_address("s_suppkey").alias("ioc")).agg(F.max("s_suppkey").alias("k"))
+    return rows.select("ioc", F.lit("ip").alias("ioc_type"), (F.col("k") % 101).cast("int").alias("risk_score"), F.array(F.lit("local")).alias("tags"),
+                       F.lit("Lab").alias("geo"), F.lit("local_custom").alias("source"))
+
+
+def abuse_feed(spark: SparkSession, folder: str) -> DataFrame:
+    c = load(spark, folder, "customer").withColumn("ip", _address("c_custkey"))
+    last = c.groupBy("ip").agg(F.max_by(F.struct("c_custkey", "c_mktsegment", "c_nationkey"), "c_custkey").alias("c"))
+    return last.select("ip", (F.col("c.c_custkey") % 101).alias("abuse_score"), (F.col("c.c_custkey") % 40).alias("total_reports"),
+                       F.col("c.c_nationkey").cast("string").alias("country"), F.col("c.c_mktsegment").alias("isp"))
+
+
+def detection_feed(spark: SparkSession, folder: str) -> DataFrame:
+    pk = F.col("p_partkey")
+    host = F.when(pk % 2 == 0, F.concat(F.lit("host"), pk.cast("string"), F.lit(".example"))).otherwise(
+        F.concat_ws(".", F.lit("172.16"), (pk % 256).cast("string"), (F.floor(pk / 256)).cast("string")))
+    return load(spark, folder, "part").select(
+        host.alias("ioc"), (pk % 23).alias("malicious"), (pk % 61).alias("harmless"), (pk % 5).alias("suspicious"), (pk % 7).alias("undetected"),
+        F.when(pk % 3 == 0, F.lit("")).otherwise(F.lit("DE")).alias("country"))
