@@ -64,9 +64,9 @@ def kb_techniques_of_group(spark, folder):
     return K.techniques_of_group(*_kb(spark, folder), "g000003").select("technique_id", "technique")
 
 
-@query("kb_groups_of_technique", KB + "SELECT DISTINCT grp AS \"group\", group_id FROM edge WHERE technique_id = 'T1059'")
+@query("kb_groups_of_technique", KB + "SELECT DISTINCT grp AS \"group\", group_id FROM edge WHERE technique_id = 'T1105'")
 def kb_groups_of_technique(spark, folder):
-    return K.groups_of_technique(*_kb(spark, folder), "T1059")
+    return K.groups_of_technique(*_kb(spark, folder), "T1105")
 
 
 @query("kb_technique_by_id", KB + "SELECT attack_id, name FROM tech WHERE attack_id = 'T1105'")
@@ -142,10 +142,10 @@ def kb_replaced(spark, folder):
 
 
 @query("kb_selected", KB + """
-SELECT id FROM tech0 WHERE platform = 'Linux' AND created > DATE '2021-06-01' AND contains(lower(description), 'steel') AND NOT sub""")
+SELECT id FROM tech0 WHERE platform = 'Linux' AND created > DATE '2021-06-01' AND contains(lower(description), 'medium') AND NOT sub""")
 def kb_selected(spark, folder):
     return K.select_objects(A.knowledge_objects(spark, folder), kind="attack-pattern", platform="Linux", created_after="2021-06-01",
-                            content="steel", subtechniques=False).select("id")
+                            content="medium", subtechniques=False).select("id")
 
 
 @query("kb_modified_counts", KB + """
