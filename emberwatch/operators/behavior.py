@@ -58,72 +58,77 @@ def call_patterns(calls: DataFrame, horizon: int = HORIZON_SECONDS, chunk: int |
     return df.withColumn("reason", reason).select(*calls.columns, "reason")
 
 
-def _summarise(gap: int, names: list[str]):
+def _summarise(gap: int, heads: list[str]):
     """Slice → how it leaves the fold, as a step function of the first time it may accept."""
 
-    def summarise(pdf):
-        import numpy as np
+    def summarise(batches):
         import pandas as pd
 
-        t = np.sort(pdf["__us"].to_numpy(np.int64))
-        nxt = np.searchsorted(t, t + gap, side="left")
-        last = np.arange(len(t))
-        for i in range(len(t) - 1, -1, -1):
-            if nxt[i] < len(t):
-                last[i] = last[nxt[i]]
-        exits = t[last]
-        # whatever was accepted earlier lies before t[0], so it hides less than one gap from t[0] on
-        edge = min(int(np.searchsorted(t, t[0] + gap, side="left")) + 1, len(t))
-        change = [i for i in range(edge) if i + 1 == edge or exits[i] != exits[i + 1]]
-        row = {n: pdf[n].iloc[0] for n in (*names, "__chunk")}
-        return pd.DataFrame([{**row, "__upto": [int(t[i]) for i in change], "__exit": [int(exits[i]) for i in change]}])
+        cols = [*heads, "__upto", "__exit"]
+        head, paths, opened, t0 = None, [], True, 0
+        for pdf in batches:
+            done = []
+            heads_of = list(pdf[heads].itertuples(index=False, name=None))
+            for i, (t, first) in enumerate(zip(pdf["__us"].tolist(), pdf["__first"].tolist())):
+                if first:
+                    if head is not None:
+                        done.append((*head, [p[0] for p in paths], [p[1] for p in paths]))
+                    head, paths, opened, t0 = heads_of[i], [], True, t
+                for p in paths:
+                    if t - p[1] >= gap:
+                        p[1] = t
+                if opened:
+                    # whatever was accepted earlier lies before t0 and hides less than one gap from there on
+                    paths.append([t, t])
+                    opened = t - t0 < gap
+                paths = [p for j, p in enumerate(paths) if j + 1 == len(paths) or p[1] != paths[j + 1][1]]
+            yield pd.DataFrame(done, columns=cols)
+        if head is not None:
+            yield pd.DataFrame([(*head, [p[0] for p in paths], [p[1] for p in paths])], columns=cols)
 
     return summarise
 
 
-def _chain(gap: int, names: list[str]):
-    """Slices of one key in order → the last accepted time each slice starts from."""
+def _chain(gap: int, heads: list[str], never: int):
+    """Slices of each key in order → the last accepted time every slice starts from."""
 
-    def chain(pdf):
+    def chain(batches):
         import bisect
 
-        import pandas as pd
-
-        pdf = pdf.sort_values("__chunk")
-        entry, out = None, []
-        for upto, leave in zip(pdf["__upto"], pdf["__exit"]):
-            out.append(entry)
-            i = 0 if entry is None else bisect.bisect_left(list(upto), entry + gap)
-            if i < len(upto):
-                entry = int(leave[i])
-        res = pdf[[*names, "__chunk"]].copy()
-        res["__entry"] = pd.array(out, dtype="Int64")
-        return res
+        entry = never
+        for pdf in batches:
+            out = []
+            for first, upto, leave in zip(pdf["__first"], pdf["__upto"], pdf["__exit"]):
+                entry = never if first else entry
+                out.append(entry)
+                i = bisect.bisect_left(list(upto), entry + gap)
+                if i < len(upto):
+                    entry = int(leave[i])
+            yield pdf[heads].assign(__entry=out)
 
     return chain
 
 
-def _walk(gap: int, names: list[str]):
-    """Accepted times of one slice."""
-
-    def walk(pdf):
-        import numpy as np
-        import pandas as pd
+def _walk(gap: int):
+    """Accepted rows of each slice."""
 
-        pdf = pdf.sort_values("__us")
-        t = pdf["__us"].to_numpy(np.int64)
-        entry = pdf["__entry"].iloc[0]
-        nxt = np.searchsorted(t, t + gap, side="left")
-        i = 0 if pd.isna(entry) else int(np.searchsorted(t, int(entry) + gap, side="left"))
-        picked = []
-        while i < len(t):
-            picked.append(i)
-            i = int(nxt[i])
-        return pdf.iloc[picked][["__seq"]]
+    def walk(batches):
+        last = 0
+        for pdf in batches:
+            keep = []
+            for t, first, entry in zip(pdf["__us"].tolist(), pdf["__first"].tolist(), pdf["__entry"].tolist()):
+                last = entry if first else last
+                ok = t - last >= gap
+                keep.append(ok)
+                last = t if ok else last
+            yield pdf.loc[keep, ["__seq"]]
 
     return walk
 
 
+NEVER = -(2 ** 61)
+
+
 def debounce(df: DataFrame, keys: list[str], seconds: int, chunk: int = 3600) -> DataFrame:
     """Rows accepted when at most one per ``seconds`` may pass, counted from the last accepted one.
 
@@ -137,17 +142,25 @@ def debounce(df: DataFrame, keys: list[str], seconds: int, chunk: int = 3600) ->
     chunk = max(chunk, seconds)
     gap = seconds * 1_000_000
     names = [f"__k{i}" for i in range(len(keys))]
+    heads = [*names, "__chunk"]
     times = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], time_chunk(F.col("ts"), chunk).alias("__chunk"),
-                      F.unix_micros("ts").alias("__us"), "seq").groupBy(*names, "__chunk", "__us").agg(F.min("seq").alias("__seq"))
-    head = T.StructType([times.schema[n] for n in (*names, "__chunk")])
-    steps = T.StructType([*head.fields, T.StructField("__upto", T.ArrayType(T.LongType())), T.StructField("__exit", T.ArrayType(T.LongType()))])
-    entry = T.StructType([*head.fields, T.StructField("__entry", T.LongType())])
-    summaries = times.groupBy(*names, "__chunk").applyInPandas(_summarise(gap, names), steps)
-    entries = summaries.groupBy(*names).applyInPandas(_chain(gap, names), entry)
-    on = reduce(lambda a, b: a & b, [times[n].eqNullSafe(entries[n]) for n in (*names, "__chunk")])
-    started = times.join(entries, on).select(*[times[n] for n in (*names, "__chunk")], "__us", "__seq", "__entry")
-    accepted = started.groupBy(*names, "__chunk").applyInPandas(
-        _walk(gap, names), T.StructType([T.StructField("__seq", times.schema["__seq"].dataType)]))
+                      F.unix_micros("ts").alias("__us"), "seq").groupBy(*heads, "__us").agg(F.min("seq").alias("__seq"))
+    slices = Window.partitionBy(*heads).orderBy("__us")
+    times = times.withColumn("__first", F.row_number().over(slices) == 1)
+    head = [times.schema[n] for n in heads]
+    longs = T.ArrayType(T.LongType())
+    # the window leaves every slice complete and sorted inside one partition
+    summaries = times.select(*heads, "__us", "__first").mapInPandas(
+        _summarise(gap, heads), T.StructType([*head, T.StructField("__upto", longs), T.StructField("__exit", longs)]))
+    order = Window.partitionBy(*names).orderBy("__chunk")
+    entries = summaries.withColumn("__first", F.row_number().over(order) == 1).mapInPandas(
+        _chain(gap, heads, NEVER), T.StructType([*head, T.StructField("__entry", T.LongType())]))
+    entries = entries.select(*[F.col(n).alias(n + "e") for n in heads], "__entry")
+    on = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(n + "e")) for n in heads])
+    started = times.drop("__first").join(entries, on).select(*heads, "__us", "__seq", "__entry").withColumn(
+        "__first", F.row_number().over(slices) == 1)
+    accepted = started.select("__us", "__seq", "__entry", "__first").mapInPandas(
+        _walk(gap), T.StructType([T.StructField("__seq", times.schema["__seq"].dataType)]))
     return df.join(accepted, df["seq"] == accepted["__seq"], "left_semi")
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from emberwatch.functions.columns import col, decode_hex, iso, parse_iso
@@ -13,6 +16,8 @@ from emberwatch.schema import conform, to_documents
 from emberwatch.sources import audit, honeypot, memory, samples, store, windows, zeek
 from emberwatch.sources import tables as A
 
+MIXED_BITS = round(-sum(n / len(samples.MIXED_NAME) * math.log2(n / len(samples.MIXED_NAME)) for n in Counter(samples.MIXED_NAME).values()), 2)
+
 RAW = """
 raw AS (SELECT event_id AS id, ts, user_id AS uid, event_type, CAST(regexp_extract(props, '[0-9]+') AS INTEGER) AS k FROM events)
 """
@@ -60,7 +65,7 @@ SELECT id + 1000 AS audit_id, file, category, outcome, severity, COALESCE(source
 def audit_events(spark, folder):
     dash = lambda p: F.coalesce(col(p), F.lit("-"))
     return _audit(spark, folder).select(
-        F.col("audit_id").cast("bigint").alias("audit_id"), F.col("file"), col("event.category").alias("category"), col("event.outcome").alias("outcome"),
+        F.col("audit_id").cast("bigint").alias("audit_id"), F.col("log_file").alias("file"), col("event.category").alias("category"), col("event.outcome").alias("outcome"),
         col("event.severity").alias("severity"), dash("source.ip").alias("source_ip"), dash("process.name").alias("name"),
         dash("process.command_line").alias("command"), dash("file.path").alias("path"), dash("user.name").alias("user_name"))
 
@@ -120,7 +125,7 @@ def zeek_events(spark, folder):
 SELECT message, count(*) AS events FROM (SELECT CASE
     WHEN tunnel AND name = {q(samples.LONG_NAME)} THEN 'DNS tunnel [Length(' || length(name) || ')]: ' || name
     WHEN tunnel AND name = {q(samples.DEEP_NAME)} THEN 'DNS tunnel [Depth(' || len(string_split(name, '.')) || ')]: ' || name
-    WHEN tunnel THEN 'DNS tunnel [Entropy(5.36)]: ' || name
+    WHEN tunnel THEN 'DNS tunnel [Entropy({MIXED_BITS})]: ' || name
     WHEN log = 'dns' THEN 'DNS Query: ' || name WHEN icmp THEN 'Suspected ICMP tunnel'
     WHEN log = 'conn' THEN 'Conn: ' || (['icmp', 'tcp', 'udp'])[k % 3 + 1] || ' flow'
     WHEN weak THEN 'Weak encryption: ' || ({lst(samples.TLS)})[k % 4 + 1] WHEN log = 'ssl' THEN 'SSL/TLS Handshake: ' || ({lst(samples.TLS)})[k % 4 + 1]

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 SESSION_CONF = {
     "spark.sql.session.timeZone": "UTC",
+    "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -23,7 +24,7 @@ SESSION_CONF = {
 
 
 # The part of the defaults that can be set on a session somebody else started.
-RUNTIME_CONF = ["spark.sql.session.timeZone", "spark.sql.codegen.hugeMethodLimit"]
+RUNTIME_CONF = ["spark.sql.session.timeZone", "spark.sql.codegen.hugeMethodLimit", "spark.sql.mapKeyDedupPolicy"]
 
 
 def apply_runtime_conf(spark: SparkSession) -> SparkSession:

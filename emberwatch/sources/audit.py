@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from emberwatch.functions.columns import basename, contains_any, filled, iso
 from emberwatch.functions.ordered import line_chunk, with_last_known, with_previous, with_running_sum
 from emberwatch.schema import build_events
+from emberwatch.session import apply_runtime_conf
 
 # ---------------------------------------------------------------------------
 # Fixed values of the audit format and of its filters.
@@ -31,14 +32,11 @@ LONG_SLEEP = 60
 
 
 def _kv(line: Column) -> Column:
-    """key=value tokens of a line; the last value of a key wins, quotes at the ends go."""
+    """key=value tokens of a line; quotes at the ends go. Needs the last value of a repeated key to win."""
     tokens = F.filter(F.split(F.trim(line), r"\s+"), lambda t: t.contains("="))
-    pairs = F.transform(tokens, lambda t: F.struct(
+    return F.map_from_entries(F.transform(tokens, lambda t: F.struct(
         F.substring_index(t, "=", 1).alias("key"),
-        F.regexp_replace(F.substring(t, F.locate("=", t) + 1, F.length(t)), r"""^["']+|["']+$""", "").alias("value")))
-    keys = F.transform(pairs, lambda p: p["key"])
-    last = F.filter(pairs, lambda p, i: F.array_position(F.reverse(keys), p["key"]) == F.size(keys) - i)
-    return F.map_from_entries(last)
+        F.btrim(F.substring(t, F.locate("=", t) + 1, F.length(t)), F.lit("\"'")).alias("value"))))
 
 
 def is_audit_line(line: Column) -> Column:
@@ -46,7 +44,11 @@ def is_audit_line(line: Column) -> Column:
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
-    """Adds ``ts_epoch``, ``audit_id`` and ``kv``; lines without an audit header are left out."""
+    """Adds ``ts_epoch``, ``audit_id`` and ``kv``; lines without an audit header are left out.
+
+    Sets the session so that the last value of a repeated key wins.
+    """
+    apply_runtime_conf(lines.sparkSession)
     return lines.where(F.col("value").rlike(HEADER)).withColumns({
         "ts_epoch": F.regexp_extract("value", HEADER, 1).cast("double"),
         "audit_id": F.regexp_extract("value", HEADER, 2),
@@ -59,7 +61,7 @@ def raw_events(lines: DataFrame) -> DataFrame:
     rest = lines.where(~is_audit_line(F.col("value")) & (F.trim("value") != ""))
     return build_events(rest, {
         "@timestamp": iso(F.current_timestamp()), "message": F.trim("value"), "event.category": F.lit("raw_log"), "event.dataset": F.lit("unknown"),
-    }, {"file": F.col("file"), "line_no": F.col("line_no")})
+    }, {"log_file": F.col("file"), "line_no": F.col("line_no")})
 
 
 def group_records(parsed: DataFrame, mode: str = "by_id", block: int | None = None) -> DataFrame:
@@ -158,7 +160,7 @@ def group_events(groups: DataFrame, host: str | Column, block: int | None = None
         "metadata.atlas_label": F.when(F.col("__path").contains("/tmp"), "TEMP_FILE"),
         "host.name": F.col("__host"), "host.hostname": F.col("__host"),
         "raw": F.to_json(F.struct("audit_id", F.col("ts_epoch").alias("timestamp"), "records")),
-    }, {"file": F.col("file"), "first_line": F.col("first_line"), "seq": F.col("first_line"), "audit_id": F.col("audit_id")})
+    }, {"log_file": F.col("file"), "first_line": F.col("first_line"), "seq": F.col("first_line"), "audit_id": F.col("audit_id")})
 
 
 def ingest_filter(events: DataFrame, filtered: bool = True) -> DataFrame:
