@@ -119,3 +119,12 @@ def fence(df: DataFrame, names: list[str]) -> DataFrame:
     rest = [F.col(f"`{c}`") for c in df.columns if c not in names]
     packed = df.select(*rest, F.explode_outer(F.array(F.struct(*names))).alias("__f"))
     return packed.select(*rest, *[F.col(f"__f.{n}").alias(n) for n in names])
+
+
+def spread(df: DataFrame, keep: list, array: Column, name: str) -> DataFrame:
+    """One row per entry of a computed array.
+
+    A plain explode makes Spark infer a filter on the array and push it down,
+    which repeats everything the array is built from; the outer form does not.
+    """
+    return df.select(*keep, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberwatch.functions.columns import basename, col, contains_any, filled
+from emberwatch.functions.columns import basename, col, contains_any, filled, spread
 from emberwatch.functions.sizing import BROADCAST_ROWS, broadcast_if_small
 from emberwatch.session import cut_lineage
 
@@ -75,10 +75,9 @@ def related(anchors: DataFrame, events: DataFrame, window: int = WINDOW_SECONDS,
     """
     size = window * 1_000_000
     slot = F.floor(F.unix_micros("ts") / F.lit(size)).cast("long")
-    a = anchors.select(F.col("seq").alias("anchor_seq"), F.col("ts").alias("anchor_ts"), "host", F.explode("looks_for").alias("k"),
-                       slot.alias("s"))
+    a = spread(anchors, [F.col("seq").alias("anchor_seq"), F.col("ts").alias("anchor_ts"), "host", slot.alias("s")], F.col("looks_for"), "k")
     a = a.select("anchor_seq", "anchor_ts", "host", "k.kind", "k.value", F.explode(F.array(F.col("s") - 1, F.col("s"), F.col("s") + 1)).alias("slot"))
-    e = events.select("seq", "ts", "event_id", "host", F.explode("found_by").alias("k"), slot.alias("slot")).select(
+    e = spread(events, ["seq", "ts", "event_id", "host", slot.alias("slot")], F.col("found_by"), "k").select(
         "seq", "ts", "event_id", "host", "k.kind", "k.value", "slot")
     if anchor_rows is not None:
         # six keys in three slots at most

@@ -227,8 +227,11 @@ def _count(preds: list[str], amount: str) -> str:
     return "((" + " + ".join(f"cast({p} AS INT)" for p in preds) + f") >= {n})"
 
 
-def _boolean(node, names: dict[str, str]) -> str:
-    """SQL of a Python boolean expression.
+UNDEFINED = "CAST(NULL AS BOOLEAN)"
+
+
+def _boolean(node, names: dict[str, str]) -> tuple[str, bool]:
+    """SQL of a Python boolean expression, and whether it can be undefined.
 
     An undefined name makes the left-to-right evaluation fail, which is written
     as NULL; operands before it can still decide, and NULL wins over later ones.
@@ -238,17 +241,18 @@ def _boolean(node, names: dict[str, str]) -> str:
     if isinstance(node, ast.BoolOp):
         conj = isinstance(node.op, ast.And)
         parts = [_boolean(v, names) for v in node.values]
-        if not any("NULL" in p.split() or p == "NULL" or "(NOT NULL)" in p or "THEN NULL" in p for p in parts):
-            return "(" + (" AND " if conj else " OR ").join(parts) + ")"
-        out = parts[-1]
-        for p in reversed(parts[:-1]):
+        if not any(loose for _, loose in parts):
+            return "(" + (" AND " if conj else " OR ").join(p for p, _ in parts) + ")", False
+        out = parts[-1][0]
+        for p, _ in reversed(parts[:-1]):
             decided = f"NOT {p} THEN false" if conj else f"{p} THEN true"
-            out = f"CASE WHEN {p} IS NULL THEN NULL WHEN {decided} ELSE {out} END"
-        return f"({out})"
+            out = f"CASE WHEN {p} IS NULL THEN {UNDEFINED} WHEN {decided} ELSE {out} END"
+        return f"({out})", True
     if isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.Not):
-        return f"(NOT {_boolean(node.operand, names)})"
+        inner, loose = _boolean(node.operand, names)
+        return f"(NOT {inner})", loose
     if isinstance(node, ast.Name):
-        return names.get(node.id, "NULL")
+        return names.get(node.id, UNDEFINED), node.id not in names
     raise ValueError("unsupported condition")
 
 
@@ -267,7 +271,7 @@ def _condition(condition, blocks: dict[str, str], strict: bool) -> str:
             group = _count([p for n, p in blocks.items() if n.startswith(guard[3])], guard[2])
             return f"({blocks.get(guard[1], 'false')} AND NOT {group})"
         try:
-            return f"coalesce({_boolean(ast.parse(text, mode='eval'), blocks)}, false)"
+            return f"coalesce({_boolean(ast.parse(text, mode='eval'), blocks)[0]}, false)"
         except (SyntaxError, ValueError):
             return "false"
 
@@ -289,7 +293,7 @@ def _condition(condition, blocks: dict[str, str], strict: bool) -> str:
 
     body = _QUANTIFIED.sub(replace, text)
     body = re.sub(r"\b(AND|OR|NOT)\b", lambda m: m[1].lower(), body)
-    return f"coalesce({_boolean(ast.parse(body, mode='eval'), names)}, false)"
+    return f"coalesce({_boolean(ast.parse(body, mode='eval'), names)[0]}, false)"
 
 
 # --------------------------------------------------------------------------- fields

@@ -7,8 +7,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberwatch.functions.columns import basename, col, contains_any, filled, text
+from emberwatch.functions.columns import basename, col, contains_any, filled, spread, text
 from emberwatch.operators.labels import label_detail
+from emberwatch.session import apply_runtime_conf
 
 # Action groups of file edges, directions of network edges, login words.
 READ_ACTIONS = ["read", "open", "access"]
@@ -80,6 +81,7 @@ def _props(**entries: Column) -> Column:
 
 def event_parts(df: DataFrame, pids: DataFrame | None = None) -> DataFrame:
     """Node ids and flags of every event in flat columns; the base of nodes and edges."""
+    apply_runtime_conf(df.sparkSession)
     df = with_start_times(df, pids).withColumn("__d", label_detail())
     category = F.coalesce(col("event.category"), F.lit(""))
     host = F.coalesce(filled(col("host.name")), F.lit("unknown"))
@@ -145,8 +147,8 @@ def event_nodes(parts: DataFrame, keys: list[str]) -> DataFrame:
                      destination_port=c("destination_port"), protocol=c("protocol"), direction=c("direction"), host=c("host"))),
         _node("auth_id", "authentication", who, _props(user=c("user"), source_ip=c("source_ip"), outcome=c("outcome"), host=c("host"))),
     ))
-    return parts.select(*keys, "seq", F.posexplode(mentions).alias("slot", "n")).select(
-        *keys, F.col("n.id").alias("id"), (F.col("seq") * 10 + F.col("slot")).alias("ord"), "n")
+    rows = parts.select(*keys, "seq", F.posexplode_outer(mentions).alias("slot", "n")).where(F.col("n").isNotNull())
+    return rows.select(*keys, F.col("n.id").alias("id"), (F.col("seq") * 10 + F.col("slot")).alias("ord"), "n")
 
 
 def _first_nodes(mentions: DataFrame, keys: list[str]) -> DataFrame:
@@ -173,7 +175,7 @@ def event_edges(parts: DataFrame, keys: list[str]) -> DataFrame:
         edge("network_id", network_relation(c("direction")), "host_network", 2),
         edge("auth_id", F.lit("auth"), "host_auth", 3),
     ))
-    return parts.select(*keys, "stamp", F.explode(found).alias("e")).select(*keys, "e.source", "e.target", "e.relation", "stamp", "e.ord")
+    return spread(parts, [*keys, "stamp"], found, "e").select(*keys, "e.source", "e.target", "e.relation", "stamp", "e.ord")
 
 
 def build_graph(df: DataFrame, pids: DataFrame | None = None, keys: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -231,7 +233,7 @@ def entities(df: DataFrame) -> DataFrame:
         entry("user", "subject", col("user.name")), entry("process", "subject", col("process.name")),
         entry("process", "parent", col("process.parent.name")), entry("file", "object", col("file.path")),
     ))
-    return df.select("seq", F.explode(found).alias("e")).select(
+    return spread(df, ["seq"], found, "e").select(
         "seq", "e.type", "e.role", "e.value", F.concat_ws(":", F.col("e.type"), F.col("e.value")).alias("entity_id"))
 
 

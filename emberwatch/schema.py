@@ -67,13 +67,23 @@ def event_schema() -> T.StructType:
     return T.StructType.fromDDL(EVENT_DDL)
 
 
-def blank_to_null(dtype: T.DataType, c: Column) -> Column:
-    """Replace '' by null in every text leaf of a nested column."""
+def leaves(dtype: T.DataType, path: str) -> dict[str, T.DataType]:
+    """Leaf paths below a column with their types."""
+    if isinstance(dtype, T.StructType):
+        return {p: t for f in dtype.fields for p, t in leaves(f.dataType, f"{path}.{f.name}").items()}
+    return {path: dtype}
+
+
+def prune(dtype: T.DataType, c: Column) -> Column:
+    """Null for everything empty: blank text, empty arrays, structs without any filled leaf."""
     if isinstance(dtype, T.StringType):
         return filled(c)
+    if isinstance(dtype, T.ArrayType):
+        return F.when(F.size(c) > 0, c)
     if isinstance(dtype, T.StructType):
-        inner = F.struct(*[blank_to_null(f.dataType, c[f.name]).alias(f.name) for f in dtype.fields])
-        return F.when(c.isNotNull(), inner)
+        inner = [prune(f.dataType, c[f.name]) for f in dtype.fields]
+        return F.when(F.coalesce(*[F.when(i.isNotNull(), F.lit(True)) for i in inner]),
+                      F.struct(*[i.alias(f.name) for i, f in zip(inner, dtype.fields)]))
     return c
 
 
@@ -91,20 +101,26 @@ def conform(df: DataFrame, json_col: str = "value") -> DataFrame:
 
 
 def normalise(df: DataFrame) -> DataFrame:
-    """Fill what events may leave out and add the parsed ``ts``."""
-    schema = event_schema()
-    cols = {f.name: blank_to_null(f.dataType, F.col(f"`{f.name}`")) for f in schema.fields if f.name in df.columns}
+    """Fill what events may leave out and add the parsed ``ts``.
+
+    Blank text becomes null, and a missing object becomes one with null leaves.
+    """
+    present = [f for f in event_schema().fields if f.name in df.columns]
+    values = {}
+    for f in present:
+        for path, t in leaves(f.dataType, f.name).items():
+            c = F.col(f"`{path}`") if path == f.name else F.col(path)
+            values[path] = filled(c) if isinstance(t, T.StringType) else c
     if "timestamp" in df.columns:
-        cols["@timestamp"] = F.coalesce(filled(F.col("`@timestamp`")), filled(F.col("timestamp")))
-    rest = [c for c in df.columns if c not in cols and c not in ("timestamp", "ts")]
-    missing = {f.name: F.lit(None).cast(f.dataType) for f in schema.fields if f.name not in df.columns}
-    out = df.select(*rest, *[c.alias(n) for n, c in {**cols, **missing}.items()])
-    ev = F.coalesce(F.col("event"), F.from_json(F.lit("{}"), schema["event"].dataType))
-    out = out.withColumn("event", ev.withField("severity", F.coalesce(ev["severity"], F.lit(DEFAULT_SEVERITY))))
-    return out.withColumn("ts", parse_iso(F.col("`@timestamp`")))
+        values["@timestamp"] = F.coalesce(values["@timestamp"], filled(F.col("timestamp")))
+    severity = values.get("event.severity", F.lit(None).cast("int"))
+    values["event.severity"] = F.coalesce(severity, F.lit(DEFAULT_SEVERITY))
+    names = {f.name for f in event_schema().fields}
+    keep = {c: F.col(f"`{c}`") for c in df.columns if c not in names and c not in ("timestamp", "ts")}
+    return build_events(df, values, {**keep, "ts": parse_iso(values["@timestamp"])})
 
 
 def to_documents(df: DataFrame) -> DataFrame:
-    """Events to JSON text, one document per row; empty fields are left out."""
-    cols = [F.col(f"`{f.name}`") for f in event_schema().fields if f.name in df.columns]
+    """Events to JSON text, one document per row; empty fields and objects are left out."""
+    cols = [prune(f.dataType, F.col(f"`{f.name}`")).alias(f.name) for f in event_schema().fields if f.name in df.columns]
     return df.select(F.to_json(F.struct(*cols)).alias("value"))

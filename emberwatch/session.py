@@ -17,6 +17,9 @@ SESSION_CONF = {
     # Label, score and rule expressions are wide. Above this size HotSpot refuses to
     # compile the generated method, so Spark should split the expressions instead.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Deriving filters from the aliases of a wide projection grows exponentially with
+    # their number; the operators state the filters they need.
+    "spark.sql.constraintPropagation.enabled": "false",
     "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
@@ -24,7 +27,9 @@ SESSION_CONF = {
 
 
 # The part of the defaults that can be set on a session somebody else started.
-RUNTIME_CONF = ["spark.sql.session.timeZone", "spark.sql.codegen.hugeMethodLimit", "spark.sql.mapKeyDedupPolicy"]
+RUNTIME_CONF = ["spark.sql.session.timeZone", "spark.sql.codegen.hugeMethodLimit",
+                "spark.sql.mapKeyDedupPolicy",
+                "spark.sql.constraintPropagation.enabled"]
 
 
 def apply_runtime_conf(spark: SparkSession) -> SparkSession:

@@ -55,7 +55,7 @@ def audit_lines(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(head("EOE")),
     )
     lines = F.when(F.col("event_type") == "signup", login).when(k % 3 == 0, F.slice(group, 1, 5)).otherwise(group)
-    return a.select(F.concat(F.lit("audit-"), s(uid % 3)).alias("file"), "event_id", F.posexplode(lines).alias("i", "value")).select(
+    return a.select(F.concat(F.lit("audit-"), s(uid % 3)).alias("file"), "event_id", F.posexplode_outer(lines).alias("i", "value")).select(
         "file", (F.col("event_id") * 8 + F.col("i")).alias("line_no"), "value")
 
 
