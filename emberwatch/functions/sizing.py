@@ -12,10 +12,8 @@ BROADCAST_ROWS = 200_000
 def broadcast_if_small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint only when the row count is proven to be within ``limit``.
 
-    ``rows`` is the bound when the caller knows it (a local table, a ``limit``);
-    otherwise at most ``limit + 1`` rows are counted. Beyond it the frame is
-    returned as it is and Spark shuffles the join.
+    ``rows`` is the bound the caller knows (a local table, a ``limit``). Without
+    one there is no hint: adaptive execution measures the side at run time and
+    broadcasts it below Spark's own size threshold, else the join is shuffled.
     """
-    if rows is None:
-        rows = df.limit(limit + 1).count()
-    return F.broadcast(df) if rows <= limit else df
+    return F.broadcast(df) if rows is not None and rows <= limit else df

@@ -225,10 +225,9 @@ def path_signature(labelled: DataFrame, keys: list[str]) -> DataFrame:
     Labels are reduced to one row per case and label first, so the list that is
     finally collected is bounded by the label vocabulary.
     """
-    known = labelled.where(F.col("label") != "UNKNOWN").select(*keys, "label").distinct()
-    sig = known.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list("label")), " -> ").alias("signature"))
-    cases = labelled.select(*keys).distinct()
-    return cases.join(sig, keys, "left").withColumn("signature", F.coalesce("signature", F.lit("")))
+    known = F.when(F.col("label") != "UNKNOWN", F.col("label"))
+    return labelled.select(*keys, known.alias("label")).distinct().groupBy(*keys).agg(
+        F.array_join(F.array_sort(F.collect_list("label")), " -> ").alias("signature"))
 
 
 def label_sequence(labelled: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:

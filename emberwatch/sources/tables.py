@@ -75,9 +75,15 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def use_all_cores(df: DataFrame) -> DataFrame:
+    """Spread a table of fewer files than cores, as the work per row is large; big tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def activity(spark: SparkSession, folder: str) -> DataFrame:
     k = F.regexp_extract("props", r"\d+", 0).cast("int")
-    return load(spark, folder, "events").withColumns({"k": k, "ts": F.col("ts").cast("timestamp")})
+    return use_all_cores(load(spark, folder, "events")).withColumns({"k": k, "ts": F.col("ts").cast("timestamp")})
 
 
 def unified_events(spark: SparkSession, folder: str) -> DataFrame:
