@@ -36,7 +36,7 @@ def groups(objects: DataFrame) -> DataFrame:
 def uses_edges(objects: DataFrame, relationships: DataFrame) -> DataFrame:
     """Distinct group → technique pairs between live objects."""
     rel = relationships.where((F.col("relationship_type") == "uses") & ~F.col("revoked")
-                              & F.col("source_ref").startswith("intrusion-set") & F.col("target_ref").startswith("attack-pattern"))
+                              & (F.col("source_type") == "intrusion-set") & (F.col("target_type") == "attack-pattern"))
     g = groups(objects).select(F.col("id").alias("source_ref"), F.col("name").alias("group"), F.col("attack_id").alias("group_id"))
     t = techniques(objects).select(F.col("id").alias("target_ref"), F.col("attack_id").alias("technique_id"), F.col("name").alias("technique"), "tactics")
     return rel.select("source_ref", "target_ref").distinct().join(g, "source_ref").join(t, "target_ref").select(
@@ -104,7 +104,7 @@ def related_objects(objects: DataFrame, relationships: DataFrame, src_type: str,
     Revoked relationships and revoked related objects are left out.
     """
     rel = relationships.where((F.col("relationship_type") == rel_type) & ~F.col("revoked")
-                              & F.col("source_ref").startswith(src_type + "--") & F.col("target_ref").startswith(target_type + "--"))
+                              & (F.col("source_type") == src_type) & (F.col("target_type") == target_type))
     a, b = ("target_ref", "source_ref") if reverse else ("source_ref", "target_ref")
     kind = src_type if reverse else target_type
     other = objects.where(is_type(kind) & ~F.col("revoked")).select(
@@ -120,10 +120,11 @@ def software_of_groups(objects: DataFrame, relationships: DataFrame) -> DataFram
     """Software a group uses itself or through campaigns attributed to it."""
     soft = objects.where(is_type("malware", "tool") & ~F.col("revoked")).select(F.col("id").alias("software"))
     rel = relationships.where(~F.col("revoked"))
-    uses = rel.where(F.col("relationship_type") == "uses").select("source_ref", F.col("target_ref").alias("software")).join(soft, "software", "left_semi")
-    direct = uses.where(F.col("source_ref").startswith("intrusion-set")).select(F.col("source_ref").alias("group_ref"), "software")
+    uses = rel.where((F.col("relationship_type") == "uses") & F.col("target_type").isin("malware", "tool")).select(
+        "source_type", "source_ref", F.col("target_ref").alias("software")).join(soft, "software", "left_semi")
+    direct = uses.where(F.col("source_type") == "intrusion-set").select(F.col("source_ref").alias("group_ref"), "software")
     attributed = rel.where(F.col("relationship_type") == "attributed-to").select("source_ref", F.col("target_ref").alias("group_ref"))
-    via = uses.join(attributed, "source_ref").select("group_ref", "software")
+    via = uses.where(F.col("source_type") == "campaign").join(attributed, "source_ref").select("group_ref", "software")
     return direct.union(via).distinct()
 
 
@@ -133,10 +134,10 @@ def techniques_by_software(objects: DataFrame, relationships: DataFrame) -> Data
     Both hops are reduced to distinct pairs first, and the result combines map-side.
     """
     rel = relationships.where((F.col("relationship_type") == "uses") & ~F.col("revoked"))
-    is_soft = lambda c: F.col(c).startswith("malware--") | F.col(c).startswith("tool--")
-    first = rel.where(F.col("source_ref").startswith("intrusion-set") & is_soft("target_ref")).select(
+    is_soft = lambda c: F.col(c).isin("malware", "tool")
+    first = rel.where((F.col("source_type") == "intrusion-set") & is_soft("target_type")).select(
         F.col("source_ref").alias("group_ref"), F.col("target_ref").alias("software")).distinct()
-    second = rel.where(is_soft("source_ref") & F.col("target_ref").startswith("attack-pattern")).select(
+    second = rel.where(is_soft("source_type") & (F.col("target_type") == "attack-pattern")).select(
         F.col("source_ref").alias("software"), F.col("target_ref").alias("technique_ref")).distinct()
     live = objects.where(is_type("attack-pattern")).select(F.col("id").alias("technique_ref"), "attack_id")
     return first.join(second, "software").select("group_ref", "technique_ref").distinct().join(live, "technique_ref")

@@ -48,7 +48,9 @@ def objects(bundle: DataFrame) -> DataFrame:
 
 
 def relationships(bundle: DataFrame) -> DataFrame:
+    """Relationships with the object types of both ends, taken from the id prefixes."""
     return bundle.where(F.col("type") == "relationship").select(
+        F.substring_index("source_ref", "--", 1).alias("source_type"), F.substring_index("target_ref", "--", 1).alias("target_type"),
         "source_ref", "relationship_type", "target_ref",
         (F.coalesce("revoked", F.lit(False)) | F.coalesce("x_mitre_deprecated", F.lit(False))).alias("revoked"))
 

@@ -219,12 +219,14 @@ def knowledge_objects(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def knowledge_relationships(spark: SparkSession, folder: str) -> DataFrame:
-    def ref(kind, key):
-        kind = F.lit(kind) if isinstance(kind, str) else kind
-        return F.concat(kind, F.lit("--"), F.col(key).cast("string"))
-
     def rel(df, a, kind, b):
-        return df.select(a.alias("source_ref"), F.lit(kind).alias("relationship_type"), b.alias("target_ref"), F.lit(False).alias("revoked")).distinct()
+        """Distinct links between (type, key column) ends."""
+        (at, ak), (bt, bk) = [(F.lit(t) if isinstance(t, str) else t, F.col(c)) for t, c in (a, b)]
+        # keys are made distinct as they are, the ids are built from what is left
+        pairs = df.select(at.alias("source_type"), ak.alias("__a"), bt.alias("target_type"), bk.alias("__b")).distinct()
+        ref = lambda t, k: F.concat(F.col(t), F.lit("--"), F.col(k).cast("string"))
+        return pairs.select("source_type", "target_type", ref("source_type", "__a").alias("source_ref"), F.lit(kind).alias("relationship_type"),
+                            ref("target_type", "__b").alias("target_ref"), F.lit(False).alias("revoked"))
 
     part, supplier = load(spark, folder, "part"), load(spark, folder, "supplier")
     kind = F.when(F.col("c_acctbal") < 0, F.lit("malware")).otherwise(F.lit("tool"))
@@ -233,13 +235,13 @@ def knowledge_relationships(spark: SparkSession, folder: str) -> DataFrame:
         load(spark, folder, "customer").select("c_custkey", "c_acctbal"), F.col("o_custkey") == F.col("c_custkey"))
     nation = load(spark, folder, "nation")
     frames = [
-        rel(line, ref("intrusion-set", "l_suppkey"), "uses", ref("attack-pattern", "l_partkey")),
-        rel(bought, ref("intrusion-set", "l_suppkey"), "uses", ref(kind, "c_custkey")),
-        rel(bought, ref(kind, "c_custkey"), "uses", ref("attack-pattern", "l_partkey")),
-        rel(nation.join(supplier, F.col("n_nationkey") == F.col("s_nationkey")), ref("campaign", "n_nationkey"), "attributed-to", ref("intrusion-set", "s_suppkey")),
-        rel(part.withColumn("r", F.col("p_size") % 5), ref("course-of-action", "r"), "mitigates", ref("attack-pattern", "p_partkey")),
-        rel(part.where(F.col("p_size") % 5 == 0).withColumn("parent", F.col("p_partkey") - 1), ref("attack-pattern", "p_partkey"), "subtechnique-of", ref("attack-pattern", "parent")),
-        rel(part.where(F.col("p_size") % 17 == 0).withColumn("next", F.col("p_partkey") + 1), ref("attack-pattern", "p_partkey"), "revoked-by", ref("attack-pattern", "next")),
+        rel(line, ("intrusion-set", "l_suppkey"), "uses", ("attack-pattern", "l_partkey")),
+        rel(bought, ("intrusion-set", "l_suppkey"), "uses", (kind, "c_custkey")),
+        rel(bought, (kind, "c_custkey"), "uses", ("attack-pattern", "l_partkey")),
+        rel(nation.join(supplier, F.col("n_nationkey") == F.col("s_nationkey")), ("campaign", "n_nationkey"), "attributed-to", ("intrusion-set", "s_suppkey")),
+        rel(part.withColumn("r", F.col("p_size") % 5), ("course-of-action", "r"), "mitigates", ("attack-pattern", "p_partkey")),
+        rel(part.where(F.col("p_size") % 5 == 0).withColumn("parent", F.col("p_partkey") - 1), ("attack-pattern", "p_partkey"), "subtechnique-of", ("attack-pattern", "parent")),
+        rel(part.where(F.col("p_size") % 17 == 0).withColumn("next", F.col("p_partkey") + 1), ("attack-pattern", "p_partkey"), "revoked-by", ("attack-pattern", "next")),
     ]
     out = frames[0]
     for f in frames[1:]:
