@@ -63,7 +63,8 @@ def slim(df: DataFrame) -> DataFrame:
         anchor_keys().alias("looks_for"), event_keys().alias("found_by"))
 
 
-def related(anchors: DataFrame, events: DataFrame, window: int = WINDOW_SECONDS, anchor_rows: int | None = None) -> DataFrame:
+def related(anchors: DataFrame, events: DataFrame, window: int = WINDOW_SECONDS, anchor_rows: int | None = None,
+            carry: tuple[str, ...] = ()) -> DataFrame:
     """Pairs (anchor, event) on one host within ``window`` seconds that share a key.
 
     The OR over the key kinds is one equi-join on (host, kind, value, time slot)
@@ -71,14 +72,15 @@ def related(anchors: DataFrame, events: DataFrame, window: int = WINDOW_SECONDS,
     slots around it, the event side only its own. A bounded anchor set
     (``anchor_rows``) is broadcast, so the events are not shuffled; otherwise
     both sides are shuffled and AQE splits a slot that is too large. No partner
-    is left out. Both frames come from :func:`slim`.
+    is left out. Both frames come from :func:`slim`; ``carry`` names event
+    columns to keep next to each pair.
     """
     size = window * 1_000_000
     slot = F.floor(F.unix_micros("ts") / F.lit(size)).cast("long")
     a = spread(anchors, [F.col("seq").alias("anchor_seq"), F.col("ts").alias("anchor_ts"), "host", slot.alias("s")], F.col("looks_for"), "k")
     a = a.select("anchor_seq", "anchor_ts", "host", "k.kind", "k.value", F.explode(F.array(F.col("s") - 1, F.col("s"), F.col("s") + 1)).alias("slot"))
-    e = spread(events, ["seq", "ts", "event_id", "host", slot.alias("slot")], F.col("found_by"), "k").select(
-        "seq", "ts", "event_id", "host", "k.kind", "k.value", "slot")
+    e = spread(events, ["seq", "ts", "event_id", "host", slot.alias("slot"), *carry], F.col("found_by"), "k").select(
+        "seq", "ts", "event_id", "host", "k.kind", "k.value", "slot", *carry)
     if anchor_rows is not None:
         # six keys in three slots at most
         a = broadcast_if_small(a, rows=anchor_rows * 18, limit=BROADCAST_ROWS)
@@ -86,7 +88,8 @@ def related(anchors: DataFrame, events: DataFrame, window: int = WINDOW_SECONDS,
     near = F.abs(F.unix_micros("ts") - F.unix_micros("anchor_ts")) <= size
     reason = F.when(F.col("kind").isin("name", "path", "file_name"), "file").when(F.col("kind") == "ppid", "child").when(
         F.col("kind") == "pid", "parent").otherwise("source_ip")
-    return pairs.where(near).select("anchor_seq", "seq", "ts", "event_id", reason.alias("reason")).distinct()
+    return pairs.where(near).select("anchor_seq", "seq", "ts", "event_id", reason.alias("reason"), "host", *carry).dropDuplicates(
+        ["anchor_seq", "seq", "reason"])
 
 
 def related_counts(pairs: DataFrame) -> DataFrame:
@@ -96,19 +99,25 @@ def related_counts(pairs: DataFrame) -> DataFrame:
 def expand(seed: DataFrame, events: DataFrame, window: int = WINDOW_SECONDS, max_depth: int = MAX_DEPTH) -> DataFrame:
     """Events reachable from the seed over related events, with the depth they were found at.
 
-    One join per hop for the whole frontier; every hop is checkpointed in the
-    shared checkpoint folder, so the lineage stays one hop long and a lost
+    One join per hop for the whole frontier. A hop reads only the events within
+    ``window`` of the frontier's time span (a filter that reaches the scan) and
+    takes the next frontier from the join itself. Every hop is checkpointed in
+    the shared checkpoint folder, so the lineage stays one hop long and a lost
     executor costs at most that hop. Neighbours without an id are skipped. Both
     frames come from :func:`slim`.
     """
-    start = seed.select("seq", "event_id", F.lit(0).alias("depth"))
-    visited = cut_lineage(start)
+    visited = cut_lineage(seed.select("seq", "event_id", F.lit(0).alias("depth")))
     frontier = cut_lineage(seed)
+    reach = window * 1_000_000
     for depth in range(1, max_depth + 1):
-        found = related(frontier, events, window).where(F.col("event_id").isNotNull()).select("seq", "event_id").distinct()
-        fresh = cut_lineage(found.join(visited.select("event_id"), "event_id", "left_anti"))
-        if fresh.isEmpty():
+        span = frontier.agg(F.min(F.unix_micros("ts")).alias("lo"), F.max(F.unix_micros("ts")).alias("hi")).first()
+        if span.lo is None:
             break
-        visited = cut_lineage(visited.unionByName(fresh.withColumn("depth", F.lit(depth))))
-        frontier = events.join(fresh.select("seq"), "seq", "left_semi")
+        near = events.where(F.col("ts").between(F.timestamp_micros(F.lit(span.lo - reach)), F.timestamp_micros(F.lit(span.hi + reach))))
+        found = related(frontier, near, window, carry=("looks_for", "found_by")).where(F.col("event_id").isNotNull())
+        found = found.select("seq", "ts", "event_id", "host", "looks_for", "found_by").dropDuplicates(["seq"])
+        frontier = cut_lineage(found.join(visited.select("event_id"), "event_id", "left_anti"))
+        if frontier.isEmpty():
+            break
+        visited = cut_lineage(visited.unionByName(frontier.select("seq", "event_id", F.lit(depth).alias("depth"))))
     return visited
