@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberwatch.llm import decontaminate, embedding_dedup, line_dedup, pieces, quality, sharding, simhash, suffix_dedup, toxicity
+from emberwatch.llm import decontaminate, embedding_dedup, line_dedup, passages, pieces, quality, sharding, simhash, suffix_dedup, toxicity
 from emberwatch.llm.columns import UPPER, remainder
 from emberwatch.session import cut_lineage
 
@@ -38,6 +38,10 @@ def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_compact_windows(spark: SparkSession, folder: str) -> DataFrame:
+    return passages.near_passages(load(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(load(spark, folder, "documents").select("doc_id", "text"))
 
@@ -84,7 +88,7 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_suffix_dedup, op4_simhash, op5_sentencepiece, op6_sharding, op7_decontamination,
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_suffix_dedup, op3_compact_windows, op4_simhash, op5_sentencepiece, op6_sharding, op7_decontamination,
                                    op8_embedding_dedup, op9_toxicity, op10_quality)}
 
 _LINES = f"""
