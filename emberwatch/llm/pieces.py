@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from emberwatch.llm.columns import packed, unpacked
 
 SPACE = "▁"
-_MEMO = 1 << 19
+#: Entries kept per worker: encoded chunks, pairs of pieces, beginnings.
+_MEMO, _PAIRS, _LOOK = 1 << 18, 1 << 18, 1 << 16
 _LONGEST_MEMO = 48
 #: pieces that begin at a position are remembered by so many characters
 AHEAD = 5
@@ -85,7 +86,7 @@ class Pieces:
 
     def fits(self, left: int, right: int) -> bool:
         """Whether two neighbours stay as they are when merged alone; kept for the pairs seen."""
-        if len(self.apart) >= _MEMO:
+        if len(self.apart) >= _PAIRS:
             self.apart.clear()
         pair = [self.piece(left), self.piece(right)]
         known = self.apart[left << 22 | right] = self.merged("".join(pair)) == pair
@@ -135,7 +136,7 @@ class Pieces:
             ahead = text[start:start + AHEAD]
             got = look.get(ahead)
             if got is None:
-                if len(look) >= _MEMO:
+                if len(look) >= _LOOK:
                     look.clear()
                 got = look[ahead] = self.beginning(ahead)
             options, more = got

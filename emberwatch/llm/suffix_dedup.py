@@ -132,16 +132,16 @@ def _compare(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFr
         for r, f in zip(rows, flags):
             if r[7] == 1:  # a piece that occurs more often is marked already
                 out += [(None, r[3], r[4], r[5] + a, r[5] + b - 1 + length) for a, b in _runs(f)]
-        told: set[bytes] = set()
+        told: set[tuple] = set()  # a class speaks once for each block of an anchor
         for r, f in zip(rows, flags):
             if r[2] > 1:
                 for w in range(len(f)):
                     d = xxhash.xxh3_128_digest(r[8][w:w + length])
-                    if d not in told:
-                        told.add(d)
+                    if (r[1], d) not in told:
+                        told.add((r[1], d))
                         closed = f[w] or r[7] > 1
                         out.append((d, None, None, None, None) if closed else (d, r[3], r[4], r[5] + w, r[5] + w + length))
-        return pd.DataFrame(out, columns=["digest", "id", "rid", "start", "stop"]).astype({c: "Int64" for c in ("id", "rid", "start", "stop")})
+        return pd.DataFrame(out, columns=["digest", "id", "rid", "start", "stop"], dtype=object)  # numbers beside nulls stay exact
 
     for pdf in batches:
         for r in pdf[["anchor", "salt", "salts", "id", "rid", "first", "front", "n", "piece"]].itertuples(index=False, name=None):
