@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberwatch.functions.columns import basename, col, contains_any, filled, spread
-from emberwatch.functions.sizing import BROADCAST_ROWS, broadcast_if_small
 from emberwatch.session import cut_lineage
 
-# Directories whose files match by name anywhere, and the expansion depth.
+# Directories whose files match by name anywhere.
 SHARED_DIRECTORIES = ["/tmp/", "/dev/shm/", "/var/www/"]
 MIN_NAME = 3
 WINDOW_SECONDS = 30
-MAX_DEPTH = 10
 
 
 def _keys(entries: list[tuple[str, Column]]) -> Column:
@@ -63,16 +63,15 @@ def slim(df: DataFrame) -> DataFrame:
         anchor_keys().alias("looks_for"), event_keys().alias("found_by"))
 
 
-def related(anchors: DataFrame, events: DataFrame, window: int = WINDOW_SECONDS, anchor_rows: int | None = None,
+def related(anchors: DataFrame, events: DataFrame, window: int = WINDOW_SECONDS,
             carry: tuple[str, ...] = ()) -> DataFrame:
     """Pairs (anchor, event) on one host within ``window`` seconds that share a key.
 
     The OR over the key kinds is one equi-join on (host, kind, value, time slot)
     with the exact distance as a residual. The anchor side enters the three
-    slots around it, the event side only its own. A bounded anchor set
-    (``anchor_rows``) is broadcast, so the events are not shuffled; otherwise
-    both sides are shuffled and AQE splits a slot that is too large. No partner
-    is left out. Both frames come from :func:`slim`; ``carry`` names event
+    slots around it, the event side only its own. Adaptive execution broadcasts
+    an anchor set that turns out to be small; otherwise both sides are shuffled
+    and a slot that is too large is split. No partner is left out. Both frames come from :func:`slim`; ``carry`` names event
     columns to keep next to each pair.
     """
     size = window * 1_000_000
@@ -81,9 +80,6 @@ def related(anchors: DataFrame, events: DataFrame, window: int = WINDOW_SECONDS,
     a = a.select("anchor_seq", "anchor_ts", "host", "k.kind", "k.value", F.explode(F.array(F.col("s") - 1, F.col("s"), F.col("s") + 1)).alias("slot"))
     e = spread(events, ["seq", "ts", "event_id", "host", slot.alias("slot"), *carry], F.col("found_by"), "k").select(
         "seq", "ts", "event_id", "host", "k.kind", "k.value", "slot", *carry)
-    if anchor_rows is not None:
-        # six keys in three slots at most
-        a = broadcast_if_small(a, rows=anchor_rows * 18, limit=BROADCAST_ROWS)
     pairs = e.join(a, ["host", "kind", "value", "slot"])
     near = F.abs(F.unix_micros("ts") - F.unix_micros("anchor_ts")) <= size
     reason = F.when(F.col("kind").isin("name", "path", "file_name"), "file").when(F.col("kind") == "ppid", "child").when(
@@ -96,10 +92,10 @@ def related_counts(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("anchor_seq", "reason").agg(F.count(F.lit(1)).alias("events"))
 
 
-def expand(seed: DataFrame, events: DataFrame, window: int = WINDOW_SECONDS, max_depth: int = MAX_DEPTH) -> DataFrame:
+def expand(seed: DataFrame, events: DataFrame, window: int = WINDOW_SECONDS, max_depth: int | None = None) -> DataFrame:
     """Events reachable from the seed over related events, with the depth they were found at.
 
-    One join per hop for the whole frontier. A hop reads only the events within
+    Runs until no hop finds anything new, or for ``max_depth`` hops. One join per hop for the whole frontier. A hop reads only the events within
     ``window`` of the frontier's time span (a filter that reaches the scan) and
     takes the next frontier from the join itself. Every hop is checkpointed in
     the shared checkpoint folder, so the lineage stays one hop long and a lost
@@ -109,7 +105,7 @@ def expand(seed: DataFrame, events: DataFrame, window: int = WINDOW_SECONDS, max
     visited = cut_lineage(seed.select("seq", "event_id", F.lit(0).alias("depth")))
     frontier = cut_lineage(seed)
     reach = window * 1_000_000
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         span = frontier.agg(F.min(F.unix_micros("ts")).alias("lo"), F.max(F.unix_micros("ts")).alias("hi")).first()
         if span.lo is None:
             break

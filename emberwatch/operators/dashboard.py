@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from emberwatch.functions.columns import col, filled, text, truth
 
@@ -84,9 +85,19 @@ def high_risk_projection(attacks: DataFrame, total: Column | int) -> DataFrame:
     return attacks.agg(F.floor(share * total + 0.5).cast("bigint").alias("high_risk"))
 
 
+def _values(dtype: T.DataType, c: Column) -> Column:
+    """All values below a column as one text, one per line."""
+    if isinstance(dtype, T.StructType):
+        return F.concat_ws("\n", *[_values(f.dataType, c[f.name]) for f in dtype.fields])
+    if isinstance(dtype, T.ArrayType):
+        return F.concat_ws("\n", F.transform(c, lambda x: _values(dtype.elementType, x)))
+    return c.cast("string")
+
+
 def search(df: DataFrame, query: str, fields: list[str] | None = None) -> DataFrame:
-    """Rows where any word of the query occurs in any field (whole text, case-insensitive)."""
-    body = F.lower(F.to_json(F.struct(*(fields or [f"`{c}`" for c in df.columns]))))
+    """Rows where any word of the query occurs in the value of any field (whole text, case-insensitive; names of fields don't count)."""
+    values = [_values(df.schema[f].dataType, F.col(f"`{f}`")) for f in fields or df.columns]
+    body = F.lower(F.concat_ws("\n", *values))
     hit = F.lit(False)
     for word in query.lower().split():
         hit = hit | body.contains(word)

@@ -203,7 +203,7 @@ def abuse_entries(feed: DataFrame) -> DataFrame:
     tags = F.array_compact(F.array(
         F.when(F.col("abuse_score") >= 80, "High Risk"), F.when(F.col("abuse_score") >= 50, "Malicious"),
         F.when(F.col("total_reports") > 10, "Frequently Reported"),
-        F.when(filled(F.col("isp")).isNotNull(), F.concat(F.lit("ISP:"), F.substring("isp", 1, 20)))))
+        F.when(filled(F.col("isp")).isNotNull(), F.concat(F.lit("ISP:"), F.col("isp")))))
     return feed.where(F.col("ip").rlike(IPV4)).select(
         F.col("ip").alias("ioc"), F.lit("ip").alias("ioc_type"), F.col("abuse_score").cast("int").alias("risk_score"), tags.alias("tags"),
         F.coalesce(filled(F.col("country")), F.lit("Unknown")).alias("geo"), F.lit("AbuseIPDB").alias("source"))

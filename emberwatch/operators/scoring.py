@@ -20,7 +20,6 @@ SENSITIVE_FILES = ["/etc/shadow", "/etc/passwd", "/etc/sudoers"]
 PERSISTENCE_PATHS = ["/etc/cron.d/", "/etc/rc.local", "systemd/system"]
 FINAL_LEVELS = [(90, "critical"), (70, "high"), (50, "medium")]
 THREAT_SCORE = 50
-SEED_LIMIT = 500
 TACTIC_KEYWORDS = [
     (["authentication", "login", "bruteforce"], "Credential Access"),
     (["webshell", "persistence"], "Persistence"),
@@ -151,11 +150,11 @@ def backfill(scored: DataFrame) -> DataFrame:
     })
 
 
-def seeds(df: DataFrame, start=None, end=None, min_score: int = THREAT_SCORE, newest: int | None = SEED_LIMIT) -> DataFrame:
-    """Newest events of a time range whose score reaches ``min_score`` or that come from a honeypot.
+def seeds(df: DataFrame, start=None, end=None, min_score: int = THREAT_SCORE, newest: int | None = None) -> DataFrame:
+    """Events of a time range whose score reaches ``min_score`` or that come from a honeypot.
 
-    ``newest`` is the scan window of the report (how many newest events are
-    looked at); ``None`` scores the whole range.
+    The whole range is scored. ``newest`` asks for a report on that many newest
+    events only.
     """
     if start is not None:
         df = df.where(F.col("ts") >= F.to_timestamp(F.lit(start)))

@@ -55,7 +55,7 @@ SELECT COALESCE(tactic, {__import__('emberwatch.plans.twins', fromlist=['x']).TA
 FROM scored WHERE score >= 50 OR dataset = 'cowrie' GROUP BY 1""")
 def threats_with_tactic(spark, folder):
     """Tactic backfill over the whole table: seeds without the scan window."""
-    return S.seeds(unified_events(spark, folder), newest=None).groupBy(col("threat.tactic.name").alias("tactic")).agg(
+    return S.seeds(unified_events(spark, folder)).groupBy(col("threat.tactic.name").alias("tactic")).agg(
         F.count(F.lit(1)).alias("events"))
 
 
@@ -245,6 +245,16 @@ def log_search_totals(spark, folder):
     return D.search(ev, "purchase shadow").agg(F.count(F.lit(1)).alias("hits"))
 
 
+@query("log_search_values", EV + r"""
+SELECT 'backslash' AS what, count(*) FILTER (WHERE contains(lower(COALESCE(exe, '')), 'c:\windows')) AS hits FROM ev
+UNION ALL SELECT 'name of a field', 0""")
+def log_search_values(spark, folder):
+    """Values with a backslash are found as they are, and names of fields are not."""
+    ev, hits = unified_events(spark, folder), F.count(F.lit(1)).alias("hits")
+    paths = D.search(ev, "c:\\windows", ["process"]).agg(hits).withColumn("what", F.lit("backslash"))
+    return paths.unionByName(D.search(ev, "command_line").agg(hits).withColumn("what", F.lit("name of a field")))
+
+
 @query("log_page", EV + """
 SELECT seq, iso_ts FROM ev WHERE contains(lower(message), 'purchase') ORDER BY ts DESC, seq DESC LIMIT 20 OFFSET 20""")
 def log_page(spark, folder):

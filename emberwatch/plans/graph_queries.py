@@ -140,7 +140,7 @@ REASONS = {"child": "e.ppid = a.pid", "parent": "e.pid = a.ppid", "file": _FILE,
 def related_events(spark, folder):
     ev = unified_events(spark, folder)
     seeds = C.slim(S.seeds(ev))
-    return C.related(seeds, C.slim(ev), HOUR, anchor_rows=S.SEED_LIMIT).select("anchor_seq", "seq", "reason")
+    return C.related(seeds, C.slim(ev), HOUR).select("anchor_seq", "seq", "reason")
 
 
 @query("related_event_counts", with_(EVENTS) + ", rel AS (" + " UNION ALL ".join(
@@ -163,4 +163,4 @@ def attack_path(spark, folder):
     ev = unified_events(spark, folder)
     slim = C.slim(ev)
     seed = C.slim(S.best_seed(S.seeds(ev)))
-    return C.expand(seed, slim, HOUR).select("seq", "depth")
+    return C.expand(seed, slim, HOUR, max_depth=10).select("seq", "depth")

@@ -192,13 +192,12 @@ TACTIC = """CASE
   ELSE 'Initial Access' END"""
 
 SEEDS = f"""
-newest AS (SELECT seq FROM events_order ORDER BY ts DESC, seq DESC LIMIT 500),
 seed AS (
   SELECT s.* EXCLUDE (det_severity, confidence, tactic), severity AS det_severity, greatest(score, 10) / 100.0 AS confidence,
          COALESCE(tactic, {TACTIC}) AS tactic
-  FROM scored s WHERE seq IN (SELECT seq FROM newest) AND (score >= 50 OR dataset = 'cowrie')
+  FROM scored s WHERE score >= 50 OR dataset = 'cowrie'
 )
-""".replace("events_order", "ev")
+"""
 
 
 def with_(*parts: str) -> str:

@@ -72,8 +72,8 @@ def read_family(spark: SparkSession, root: str, families: list[str] | None = Non
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)
 
 
-def query_events(df: DataFrame, start: str, end: str, filters: dict | None = None, size: int | None = 1000) -> DataFrame:
-    """Events of a time range that satisfy equality filters, oldest first.
+def query_events(df: DataFrame, start: str, end: str, filters: dict | None = None, size: int | None = None) -> DataFrame:
+    """Events of a time range that satisfy equality filters; with ``size`` the oldest so many.
 
     With a ``dt`` partition column the range also prunes partitions; one day of
     slack on both sides covers families whose days are shifted.
@@ -88,4 +88,4 @@ def query_events(df: DataFrame, start: str, end: str, filters: dict | None = Non
         df = df.where(col(path) == F.lit(value))
     if size is None:
         return df
-    return df.orderBy("ts").limit(size)
+    return df.orderBy("ts", "seq").limit(size)
