@@ -29,7 +29,7 @@ from emberwatch.llm.columns import packed, unpacked
 
 SPACE = "▁"
 #: Entries kept per worker: encoded chunks, pairs of pieces, beginnings.
-_MEMO, _PAIRS, _LOOK = 1 << 18, 1 << 18, 1 << 16
+_MEMO, _PAIRS, _LOOK = 3 << 17, 1 << 18, 1 << 18
 _LONGEST_MEMO = 48
 #: pieces that begin at a position are remembered by so many characters
 AHEAD = 5
