@@ -64,9 +64,10 @@ def ball_links(prints: DataFrame) -> DataFrame:
     one = F.lit(1).cast("long")
     flips = F.explode(F.array(*[F.lit(i) for i in range(-1, 64)])).alias("i")
     # i = -1 is the fingerprint itself
-    # 65 rows from each: a number of partitions of its own keeps adaptive execution from joining the small ones before they grow
+    # 65 rows from each: a number of partitions of its own keeps adaptive execution from joining the small ones before they
+    # grow; by another expression than the grouping above, else the planner takes the repartition out as done already
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = prints.repartition(parts, "f").select("f", flips)
+    spread = prints.repartition(parts, F.bitwise_not("f")).select("f", flips)
     bit = F.expr("shiftleft(1L, i)")
     variants = spread.select(
         F.when(F.col("i") < 0, F.col("f")).otherwise(F.col("f").bitwiseXOR(bit)).alias("v"),
