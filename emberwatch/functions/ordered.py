@@ -26,8 +26,13 @@ def _carry(df: DataFrame, keys: list[str], chunk: str, summary: dict[str, Column
     """Per-chunk summary, its running form over earlier chunks, joined back on keys and chunk."""
     per_chunk = df.groupBy(*keys, chunk).agg(*[c.alias(n) for n, c in summary.items()])
     over = Window.partitionBy(*keys).orderBy(chunk)
+    return _join_back(df, keys, chunk, per_chunk, [c(over).alias(n) for n, c in carried.items()])
+
+
+def _join_back(df: DataFrame, keys: list[str], chunk: str, per_chunk: DataFrame, values: list[Column]) -> DataFrame:
+    """``values`` of each chunk's summary beside the chunk's rows."""
     cols = [F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]
-    carry = per_chunk.select(*cols, F.col(chunk).alias("__kc"), *[c(over).alias(n) for n, c in carried.items()])
+    carry = per_chunk.select(*cols, F.col(chunk).alias("__kc"), *values)
     on = [df[k].eqNullSafe(carry[f"__k{i}"]) for i, k in enumerate(keys)] + [df[chunk] == carry["__kc"]]
     cond = on[0]
     for c in on[1:]:
@@ -66,6 +71,22 @@ def with_running_sum(df: DataFrame, keys: list[str], chunk: str, order: list[str
     return out.drop("__x", "__in", "__before")
 
 
+def with_runs(df: DataFrame, keys: list[str], chunk: str, order: list[str], value: Column, name: str) -> DataFrame:
+    """Number of the run of equal ``value`` (nulls equal one another) a row belongs to, counted from 1 within the key."""
+    w = Window.partitionBy(*keys, chunk).orderBy(*order)
+    df = df.withColumns({"__x": F.struct(value.alias("v")), "__o": F.struct(*order)}).withColumn("__lag", F.lag("__x").over(w))
+    # the first row of a chunk counts once the chunk before is known
+    df = df.withColumn("__new", (F.col("__lag").isNotNull() & ~F.col("__lag").eqNullSafe(F.col("__x"))).cast("long"))
+    df = df.withColumn("__in", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    per_chunk = df.groupBy(*keys, chunk).agg(
+        F.min_by("__x", "__o").alias("__a"), F.max_by("__x", "__o").alias("__z"), F.sum("__new").alias("__n"))
+    over = Window.partitionBy(*keys).orderBy(chunk)
+    per_chunk = per_chunk.withColumn("__opens", (~F.lag("__z").over(over).eqNullSafe(F.col("__a"))).cast("long"))
+    carried = F.sum(F.col("__n") + F.col("__opens")).over(over) - F.col("__n")
+    out = _join_back(df, keys, chunk, per_chunk, [carried.alias("__before")])
+    return out.withColumn(name, F.col("__in") + F.col("__before")).drop("__x", "__o", "__lag", "__new", "__in", "__before")
+
+
 def with_last_known(df: DataFrame, keys: list[str], chunk: str, order: list[str], value: Column, name: str,
                     include_current: bool = True) -> DataFrame:
     """Latest non-null ``value`` of the key up to the current row (as-of lookup)."""

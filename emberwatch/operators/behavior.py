@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberwatch.functions.ordered import time_chunk, with_previous, with_running_sum
+from emberwatch.functions.ordered import time_chunk, with_runs
 
 # ---------------------------------------------------------------------------
 # Ordered pairs, single calls worth a scan, horizons in seconds.
@@ -58,33 +59,61 @@ def call_patterns(calls: DataFrame, horizon: int = HORIZON_SECONDS, chunk: int |
     return df.withColumn("reason", reason).select(*calls.columns, "reason")
 
 
+def _whole_slices(batches):
+    """Batches cut anew so that every slice is complete; rows arrive in slice and time order, ``__first`` marks where a slice begins."""
+    import pandas as pd
+
+    held = []
+    for pdf in batches:
+        starts = np.flatnonzero(pdf["__first"].to_numpy(bool))
+        if not len(starts):
+            held.append(pdf)
+            continue
+        block = pd.concat([*held, pdf.iloc[:starts[-1]]], ignore_index=True)
+        held = [pdf.iloc[starts[-1]:]]
+        if len(block):
+            yield block
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+class _Jumps:
+    """The fold's moves in a block of slices: from an accepted row to the first row at least ``gap`` later."""
+
+    def __init__(self, block, gap: int):
+        first = block["__first"].to_numpy(bool)
+        self.t = block["__us"].to_numpy(np.int64)
+        self.begin = np.flatnonzero(first)
+        self.slice = np.cumsum(first) - 1
+        self.since = self.t - self.t[self.begin][self.slice]
+        # slices laid end to end, further apart than a jump reaches
+        self.span = int(self.since.max()) + gap + 1
+        self.place = self.since + self.slice * self.span
+        self.next = np.searchsorted(self.place, self.place + gap)
+        self.end = np.append(self.begin[1:], len(self.t))
+
+
 def _summarise(gap: int, heads: list[str]):
     """Slice → how it leaves the fold, as a step function of the first time it may accept."""
 
     def summarise(batches):
-        import pandas as pd
-
-        cols = [*heads, "__upto", "__exit"]
-        head, paths, opened, t0 = None, [], True, 0
-        for pdf in batches:
-            done = []
-            heads_of = list(pdf[heads].itertuples(index=False, name=None))
-            for i, (t, first) in enumerate(zip(pdf["__us"].tolist(), pdf["__first"].tolist())):
-                if first:
-                    if head is not None:
-                        done.append((*head, [p[0] for p in paths], [p[1] for p in paths]))
-                    head, paths, opened, t0 = heads_of[i], [], True, t
-                for p in paths:
-                    if t - p[1] >= gap:
-                        p[1] = t
-                if opened:
-                    # whatever was accepted earlier lies before t0 and hides less than one gap from there on
-                    paths.append([t, t])
-                    opened = t - t0 < gap
-                paths = [p for j, p in enumerate(paths) if j + 1 == len(paths) or p[1] != paths[j + 1][1]]
-            yield pd.DataFrame(done, columns=cols)
-        if head is not None:
-            yield pd.DataFrame([(*head, [p[0] for p in paths], [p[1] for p in paths])], columns=cols)
+        for block in _whole_slices(batches):
+            j = _Jumps(block, gap)
+            here = np.arange(len(j.t))
+            last = np.where(j.next < j.end[j.slice], j.next, here)
+            while True:
+                further = last[last]
+                if np.array_equal(further, last):
+                    break
+                last = further
+            leave = j.t[last]
+            # what was accepted earlier lies before the slice and hides less than one gap of it
+            may_start = np.append(True, j.since[:-1] < gap) | (j.since == 0)
+            at = np.flatnonzero(may_start)
+            of, x = j.slice[at], leave[at]
+            at = at[np.append((of[1:] != of[:-1]) | (x[1:] != x[:-1]), True)]
+            cuts = np.cumsum(np.bincount(j.slice[at], minlength=len(j.begin)))[:-1]
+            yield block.loc[j.begin, heads].assign(__upto=np.split(j.t[at], cuts), __exit=np.split(leave[at], cuts))
 
     return summarise
 
@@ -93,15 +122,13 @@ def _chain(gap: int, heads: list[str], never: int):
     """Slices of each key in order → the last accepted time every slice starts from."""
 
     def chain(batches):
-        import bisect
-
         entry = never
         for pdf in batches:
             out = []
             for first, upto, leave in zip(pdf["__first"], pdf["__upto"], pdf["__exit"]):
                 entry = never if first else entry
                 out.append(entry)
-                i = bisect.bisect_left(list(upto), entry + gap)
+                i = int(np.searchsorted(upto, entry + gap))
                 if i < len(upto):
                     entry = int(leave[i])
             yield pdf[heads].assign(__entry=out)
@@ -113,15 +140,17 @@ def _walk(gap: int):
     """Accepted rows of each slice."""
 
     def walk(batches):
-        last = 0
-        for pdf in batches:
-            keep = []
-            for t, first, entry in zip(pdf["__us"].tolist(), pdf["__first"].tolist(), pdf["__entry"].tolist()):
-                last = entry if first else last
-                ok = t - last >= gap
-                keep.append(ok)
-                last = t if ok else last
-            yield pdf.loc[keep, ["__seq"]]
+        for block in _whole_slices(batches):
+            j = _Jumps(block, gap)
+            wait = np.maximum(block["__entry"].to_numpy(np.int64)[j.begin] + gap - j.t[j.begin], 0)
+            at, end = np.searchsorted(j.place, wait + np.arange(len(j.begin)) * j.span), j.end
+            keep = np.zeros(len(j.t), bool)
+            while len(at):
+                inside = at < end
+                at, end = at[inside], end[inside]
+                keep[at] = True
+                at = j.next[at]
+            yield block.loc[keep, ["__seq"]]
 
     return walk
 
@@ -137,14 +166,16 @@ def debounce(df: DataFrame, keys: list[str], seconds: int, chunk: int = 3600) ->
     small step function (where the fold leaves it, by where it may start), only
     these summaries are chained per key, and then every slice is walked on its
     own. A key that holds most of the rows is thus handled by many tasks, and
-    equal times collapse before anything is shuffled.
+    equal times collapse before anything is shuffled. Within a slice the fold is
+    a jump table over sorted times: the work is n log n, whatever the gap hides.
+    Rows without a time are never accepted.
     """
     chunk = max(chunk, seconds)
     gap = seconds * 1_000_000
     names = [f"__k{i}" for i in range(len(keys))]
     heads = [*names, "__chunk"]
     times = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], time_chunk(F.col("ts"), chunk).alias("__chunk"),
-                      F.unix_micros("ts").alias("__us"), "seq").groupBy(*heads, "__us").agg(F.min("seq").alias("__seq"))
+                      F.unix_micros("ts").alias("__us"), "seq").where("__us is not null").groupBy(*heads, "__us").agg(F.min("seq").alias("__seq"))
     slices = Window.partitionBy(*heads).orderBy("__us")
     times = times.withColumn("__first", F.row_number().over(slices) == 1)
     head = [times.schema[n] for n in heads]
@@ -172,9 +203,7 @@ def distinct_alerts(alerts: DataFrame, keys: list[str], seconds: int = ALERT_SEC
     one signature are debounced on their own.
     """
     df = alerts.withColumn("__c", time_chunk(F.col("ts"), max(chunk, seconds)))
-    df = with_previous(df, keys, "__c", ["ts", "seq"], {"__last": F.col("signature")})
-    changed = F.when(F.col("__last").eqNullSafe(F.col("signature")), F.lit(0)).otherwise(F.lit(1))
-    df = with_running_sum(df, keys, "__c", ["ts", "seq"], changed, "__run").drop("__c", "__last")
+    df = with_runs(df, keys, "__c", ["ts", "seq"], F.col("signature"), "__run").drop("__c")
     return debounce(df, [*keys, "__run"], seconds, chunk).drop("__run")
 
 
@@ -183,6 +212,10 @@ def alert_signature(anomalies: Column) -> Column:
 
 
 def scan_triggers(calls: DataFrame, horizon: int = HORIZON_SECONDS, gap: int = TRIGGER_SECONDS) -> DataFrame:
-    """Calls that start a memory scan: a pattern matched and the process was not scanned just before."""
-    hits = call_patterns(calls, horizon).where(F.col("reason").isNotNull())
+    """Calls that start a memory scan: a pattern matched and the process was not scanned just before.
+
+    Calls that are part of no pattern are left out first, so they never start a scan.
+    """
+    wanted = sorted({c for a, b, _ in SEQUENCES for c in (a, b)} | {c for c, _ in SINGLE_CALLS})
+    hits = call_patterns(calls.where(F.col("syscall").isin(wanted)), horizon).where(F.col("reason").isNotNull())
     return debounce(hits, ["host", "pid"], gap, max(3600, gap))

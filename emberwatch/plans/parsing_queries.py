@@ -285,7 +285,7 @@ acc AS (SELECT seq FROM firsts UNION ALL SELECT hop.nxt FROM acc JOIN hop ON hop
 """
 
 
-@query("scan_triggers", "WITH RECURSIVE " + (with_(RAW, CALLS) + _fold("SELECT seq, us, host, pid FROM pat WHERE reason IS NOT NULL", "b.host = a.host AND b.pid = a.pid", HALF_DAY) +
+@query("scan_triggers", "WITH RECURSIVE " + (with_(RAW, CALLS) + _fold("SELECT seq, us, host, pid FROM pat WHERE reason IS NOT NULL AND syscall <> 'read'", "b.host = a.host AND b.pid = a.pid", HALF_DAY) +
        "SELECT seq FROM acc")[len("WITH "):])
 def scan_triggers(spark, folder):
     return B.scan_triggers(samples.syscalls(spark, folder), SIX_HOURS, HALF_DAY).select("seq")

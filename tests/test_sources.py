@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -174,6 +175,20 @@ def test_debounce_equals_the_fold(spark):
         assert got == _fold(rows, gap * 1_000_000), (gap, chunk)
 
 
+def test_debounce_of_one_busy_key(spark):
+    # a million distinct times inside a few gaps of one key
+    df = spark.range(1_000_000).select(F.lit("h").alias("host"), F.col("id").alias("seq"), F.timestamp_micros(F.col("id") * 1000).alias("ts"))
+    started = time.monotonic()
+    got = sorted(r.seq for r in B.debounce(df, ["host"], 300).collect())
+    assert got == [0, 300_000, 600_000, 900_000] and time.monotonic() - started < 60
+
+
+def test_debounce_of_no_rows_and_no_times(spark):
+    df = spark.createDataFrame([("h", 1, None), (None, 2, datetime(2026, 1, 1)), (None, 3, datetime(2026, 1, 1))], "host string, seq long, ts timestamp")
+    assert [r.seq for r in B.debounce(df, ["host"], 5).collect()] == [2]
+    assert B.debounce(df.limit(0), ["host"], 5).count() == 0
+
+
 def test_distinct_alerts_equal_the_fold(spark):
     rnd = random.Random(4)
     base = datetime(2026, 1, 1)
