@@ -128,3 +128,14 @@ def spread(df: DataFrame, keep: list, array: Column, name: str) -> DataFrame:
     which repeats everything the array is built from; the outer form does not.
     """
     return df.select(*keep, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+
+
+def is_json_object(value: Column) -> Column:
+    """Whether a text is one complete JSON object; false for null. A broken text parses to a struct of nulls, so that says nothing."""
+    return F.json_object_keys(value).isNotNull()
+
+
+def rejected(lines: DataFrame, value: str = "value") -> DataFrame:
+    """Lines that should hold a JSON object and do not. Blank lines and comments are no records."""
+    line = F.ltrim(value)
+    return lines.where((line != "") & ~line.startswith("#") & ~is_json_object(F.col(value)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,11 +38,9 @@ def severity_distribution(attacks: DataFrame) -> DataFrame:
     """Count and rounded percentage per severity bucket; anything unnamed is ``unknown``."""
     level = text(col("detection.severity"))
     bucket = F.when(level.isin("high", "medium", "low"), level).otherwise(F.lit("unknown"))
-    total = attacks.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return (
-        attacks.groupBy(bucket.alias("severity")).agg(F.count(F.lit(1)).alias("events"))
-        .withColumn("percent", F.floor(F.col("events") * 100.0 / total + 0.5).cast("bigint"))
-    )
+    counts = attacks.groupBy(bucket.alias("severity")).agg(F.count(F.lit(1)).alias("events"))
+    total = F.sum("events").over(Window.partitionBy())  # over four rows at most
+    return counts.withColumn("percent", F.floor(F.col("events") * 100.0 / total + 0.5).cast("bigint"))
 
 
 def tactic_distribution(attacks: DataFrame, top: int | None = None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 
 
 from pyspark.sql import Column, DataFrame
@@ -184,7 +186,8 @@ def build_graph(df: DataFrame, pids: DataFrame | None = None, keys: list[str] |
     All de-duplication is a hash aggregate with map-side combine, so a host or
     process that holds a large share of the events is reduced before it moves.
     Parent links are reduced to distinct (child, parent pid) pairs before they
-    are joined to the process nodes.
+    are joined to the process nodes. A parent that was never seen gets one
+    placeholder per host and pid, named by the first event that mentions it.
     """
     keys = keys or []
     parts = event_parts(df, pids)
@@ -196,8 +199,13 @@ def build_graph(df: DataFrame, pids: DataFrame | None = None, keys: list[str] |
         F.min_by("stamp", "seq").alias("stamp"), F.min("seq").alias("seq"))
     process = parts.where(F.col("process_id").isNotNull()).groupBy(*keys, "host", F.col("pid").alias("ppid")).agg(
         F.min_by("process_id", "seq").alias("known_parent"))
-    linked = links.join(process, [*keys, "host", "ppid"], "left").withColumn(
-        "parent_id", F.coalesce("known_parent", node_key(F.col("host"), F.col("ppid"), F.col("parent_exe"), F.col("parent_start"))))
+    parents = links.groupBy(*keys, "host", "ppid").agg(F.min_by(F.struct("parent_exe", "parent_start"), "seq").alias("p"))
+    parents = parents.join(process, [*keys, "host", "ppid"], "left").select(
+        *keys, "host", "ppid", "known_parent",
+        F.coalesce("known_parent", node_key(F.col("host"), F.col("ppid"), F.col("p.parent_exe"), F.col("p.parent_start"))).alias("parent_id"))
+    on = [*keys, "host", "ppid"]
+    parents = parents.select(*[F.col(k).alias(f"__{k}") for k in on], "known_parent", "parent_id")
+    linked = links.join(parents, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in on]))
     spawned = linked.select(*keys, F.col("parent_id").alias("source"), F.col("process_id").alias("target"),
                             F.lit("spawned").alias("relation"), "stamp", (F.col("seq") * 10 + 9).alias("ord"))
     edges = direct.unionByName(spawned).groupBy(*keys, "source", "target", "relation").agg(
@@ -205,7 +213,8 @@ def build_graph(df: DataFrame, pids: DataFrame | None = None, keys: list[str] |
 
     missing = linked.where(F.col("known_parent").isNull()).groupBy(*keys, F.col("parent_id").alias("id")).agg(
         F.min(F.struct("seq", "ppid", "host")).alias("p"))
-    placeholders = missing.join(nodes.select(*keys, "id"), [*keys, "id"], "left_anti").select(
+    # no process of that host and pid exists, so no node can have the id
+    placeholders = missing.select(
         *keys, "id", (F.col("p.seq") * 10 + 9).alias("ord"), F.lit("process").alias("type"),
         F.concat(F.lit("parent (PID:"), F.col("p.ppid").cast("string"), F.lit(")")).alias("label"), F.lit("").alias("semantic"),
         F.lit(0).alias("severity"), F.lit("").alias("technique"), _props(pid=F.col("p.ppid"), host=F.col("p.host")).alias("properties"))

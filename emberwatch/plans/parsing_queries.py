@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberwatch.functions.columns import col, decode_hex, iso, parse_iso
+from emberwatch.functions.columns import col, decode_hex, iso, parse_iso, rejected
 from emberwatch.operators import behavior as B
 from emberwatch.operators import labels as L
 from emberwatch.plans.registry import query
@@ -143,6 +145,20 @@ pp AS (SELECT *, CASE WHEN kind LIKE '%login%' THEN 'authentication' WHEN kind =
 """
 
 
+@query("broken_lines", with_(RAW) + """
+SELECT 'honeypot' AS source, id % 7 = 0 AS broken, count(*) AS lines FROM raw GROUP BY id % 7 = 0
+UNION ALL SELECT 'sensor', id % 7 = 0, count(*) FROM raw WHERE k % 50 <> 49 GROUP BY id % 7 = 0
+UNION ALL SELECT 'event', id % 7 = 0, count(*) FROM raw GROUP BY id % 7 = 0""")
+def broken_lines(spark, folder):
+    """Lines read and refused by source, where every seventh line is cut off."""
+    pot, net = (samples.with_broken(f(spark, folder)) for f in (samples.honeypot_lines, samples.zeek_lines))
+    sides = [("honeypot", honeypot.parse_lines(pot, all_events=True), rejected(pot)), ("sensor", zeek.parse_lines(net), rejected(net)),
+             ("event", conform(pot), rejected(pot))]
+    counts = [part.select(F.lit(name).alias("source"), F.lit(bad).alias("broken")).groupBy("source", "broken").agg(F.count(F.lit(1)).alias("lines"))
+              for name, good, lost in sides for bad, part in ((False, good), (True, lost))]
+    return reduce(DataFrame.unionByName, counts)
+
+
 @query("honeypot_events", with_(RAW, POT) + """
 SELECT id AS seq, category, split_part(kind, '.', 3) AS action, CASE WHEN kind = 'cowrie.login.failed' THEN 'failure' ELSE 'success' END AS outcome,
   CASE WHEN kind = 'cowrie.login.failed' THEN 5 WHEN kind = 'cowrie.login.success' THEN 1 WHEN kind <> 'cowrie.command.input' THEN 3 WHEN input IS NULL THEN 3

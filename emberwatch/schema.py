@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberwatch.functions.columns import filled, parse_iso
+from emberwatch.functions.columns import filled, is_json_object, parse_iso
 
 EVENT_DDL = """
 `@timestamp` string,
@@ -90,13 +90,14 @@ def prune(dtype: T.DataType, c: Column) -> Column:
 def conform(df: DataFrame, json_col: str = "value") -> DataFrame:
     """JSON text to the event schema.
 
+    Text that is no complete JSON object is left out (``rejected`` returns it).
     Unknown keys are dropped, a sub-object of the wrong shape becomes null, a
     missing severity takes the default, and ``timestamp`` is accepted for
     ``@timestamp``. All other input columns are kept.
     """
     schema = T.StructType(event_schema().fields + [T.StructField("timestamp", T.StringType())])
     keep = [c for c in df.columns if c != json_col]
-    parsed = df.select(*keep, F.from_json(F.col(json_col), schema).alias("e")).where(F.col("e").isNotNull())
+    parsed = df.where(is_json_object(F.col(json_col))).select(*keep, F.from_json(F.col(json_col), schema).alias("e"))
     return normalise(parsed.select(*keep, "e.*"))
 
 

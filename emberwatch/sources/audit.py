@@ -67,16 +67,16 @@ def raw_events(lines: DataFrame) -> DataFrame:
 def group_records(parsed: DataFrame, mode: str = "by_id", block: int | None = None) -> DataFrame:
     """Records of one audit event: ``file, audit_id, ts_epoch, first_line, records``.
 
-    ``by_id`` collects by audit id. ``contiguous`` reproduces the line-by-line
+    ``by_id`` collects by audit id and time, as ids start again at every boot. ``contiguous`` reproduces the line-by-line
     collector: a run ends when the id changes or at an EOE record, the run still
     open at the end of a file is not emitted, and the run that ends right
     before an EOE line of another id is lost. An audit event is a handful of
     records, so a group is bounded by the log format.
     """
     record = F.struct("line_no", F.col("kv"))
-    agg = [F.min_by("ts_epoch", "line_no").alias("ts_epoch"), F.min("line_no").alias("first_line"), F.collect_list(record).alias("__r")]
+    agg = [F.min("line_no").alias("first_line"), F.collect_list(record).alias("__r")]
     if mode == "by_id":
-        out = parsed.groupBy("file", "audit_id").agg(*agg)
+        out = parsed.groupBy("file", "audit_id", "ts_epoch").agg(*agg)
     else:
         chunk = line_chunk(F.col("line_no"), block) if block else line_chunk(F.col("line_no"))
         run = parsed.withColumns({"__chunk": chunk, "__eoe": F.coalesce(F.try_element_at("kv", F.lit("type")) == "EOE", F.lit(False))})
@@ -84,7 +84,7 @@ def group_records(parsed: DataFrame, mode: str = "by_id", block: int | None = No
         start = F.col("__pid").isNull() | (F.col("__pid") != F.col("audit_id")) | F.coalesce("__pe", F.lit(False))
         run = with_running_sum(run, ["file"], "__chunk", ["line_no"], F.when(start, F.lit(1)).otherwise(F.lit(0)), "__run")
         groups = run.groupBy("file", "__run").agg(
-            *agg, F.first("audit_id").alias("audit_id"), F.max("__eoe").alias("__closed"), F.max("line_no").alias("last_line"))
+            *agg, F.min_by("ts_epoch", "line_no").alias("ts_epoch"), F.first("audit_id").alias("audit_id"), F.max("__eoe").alias("__closed"), F.max("line_no").alias("last_line"))
         # what starts right behind the end of a run decides whether the run was handed over
         nxt = run.where(start).select("file", (F.col("__run") - 1).alias("__run"), F.col("__eoe").alias("__next_eoe"), F.lit(True).alias("__has_next"))
         out = groups.join(nxt, ["file", "__run"], "left").where(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberwatch.functions.columns import contains_any, filled, iso
+from emberwatch.functions.columns import contains_any, filled, is_json_object, iso
 from emberwatch.schema import build_events
 
 RECORD_DDL = """
@@ -23,8 +23,8 @@ DEFAULT_PORT = 2222
 
 
 def parse_lines(lines: DataFrame, all_events: bool = False) -> DataFrame:
-    """JSON lines of the kept record kinds."""
-    df = lines.withColumn("r", F.from_json("value", RECORD_DDL)).where(F.col("r.eventid").isNotNull())
+    """Complete JSON lines of the kept record kinds."""
+    df = lines.where(is_json_object(F.col("value"))).withColumn("r", F.from_json("value", RECORD_DDL)).where(F.col("r.eventid").isNotNull())
     return df if all_events else df.where(F.col("r.eventid").isin(KEPT))
 
 

@@ -38,9 +38,10 @@ def infer_category() -> Column:
 
 
 def prepare(df: DataFrame) -> DataFrame:
-    """Fill id, time and category before writing."""
+    """Fill id, time and category before writing. A missing id is derived from the row, so that a repeated task writes the same one."""
     ev = F.col("event")
-    ev = ev.withField("id", F.coalesce(filled(col("event.id")), F.uuid())).withField("category", infer_category())
+    own = F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    ev = ev.withField("id", F.coalesce(filled(col("event.id")), own)).withField("category", infer_category())
     stamp = F.coalesce(filled(F.col("`@timestamp`")), iso(F.current_timestamp()))
     return df.withColumns({"event": ev, "@timestamp": stamp}).withColumn("ts", parse_iso(F.col("`@timestamp`")))
 
@@ -48,7 +49,7 @@ def prepare(df: DataFrame) -> DataFrame:
 def write_events(df: DataFrame, root: str, family: str = "unified-logs", day_shift_hours: int = 0) -> dict[str, int]:
     """Append to the daily partitions of one index family; returns how many rows were written and refused.
 
-    Rows whose time cannot be read have no partition and go to ``<family>-rejected``.
+    Rows whose time cannot be read go to the family's partition ``dt=rejected``.
     """
     ready = prepare(df).withColumn("dt", index_day(F.col("ts"), day_shift_hours))
     seen = Observation()

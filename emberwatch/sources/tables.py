@@ -76,9 +76,9 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def use_all_cores(df: DataFrame) -> DataFrame:
-    """Spread a table of fewer files than cores, as the work per row is large; big tables stay as they are."""
+    """Spread a table that the reader splits into fewer parts than cores (then it is a few megabytes); whatever is larger is read as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def activity(spark: SparkSession, folder: str) -> DataFrame:

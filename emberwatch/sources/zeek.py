@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberwatch.functions.columns import entropy, filled, iso
+from emberwatch.functions.columns import entropy, filled, is_json_object, iso
 from emberwatch.schema import build_events
 
 RECORD_DDL = """
@@ -20,9 +20,9 @@ WEAK_TLS = ["SSLv2", "SSLv3", "TLSv10"]
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
-    """Lines (``value``, ``log``) that hold a JSON object, parsed; other lines and logs are skipped."""
-    df = lines.where(F.ltrim("value").startswith("{") & F.col("log").isin(LOGS))
-    return df.withColumn("r", F.from_json("value", RECORD_DDL)).where(F.col("r").isNotNull())
+    """Lines (``value``, ``log``) that hold a complete JSON object, parsed; other lines and logs are skipped (``rejected`` returns broken ones)."""
+    df = lines.where(is_json_object(F.col("value")) & F.col("log").isin(LOGS))
+    return df.withColumn("r", F.from_json("value", RECORD_DDL))
 
 
 def dns_reasons(query: Column) -> Column:

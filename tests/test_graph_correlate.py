@@ -40,6 +40,15 @@ def test_parent_is_reused_or_placed(events):
     assert labels[ghost] == "parent (PID:99)" and labels[parent] == "p (PID:1)"
 
 
+def test_one_placeholder_per_unseen_parent(events):
+    df = events(*[{"@timestamp": at(i), "event": {"id": f"e{i}", "category": "process"}, "host": {"name": "h"},
+                   "process": {"pid": 10 + i, "executable": "/bin/a", "parent": {"pid": 5, "executable": exe}}} for i, exe in enumerate(("/bin/x", "/bin/y"))])
+    nodes, edges = G.build_graph(df)
+    ghost = md5("h", 5, "/bin/x", "unknown")
+    assert {r.source for r in edges.where("relation = 'spawned'").collect()} == {ghost}
+    assert nodes.where("type = 'process'").count() == 3 and nodes.where(F.col("id") == ghost).count() == 1
+
+
 def test_two_operations_on_one_file(events):
     doc = lambda i, a: {"@timestamp": at(i), "event": {"id": a, "category": "file", "action": a}, "host": {"name": "h"}, "file": {"path": "/srv/x"}}
     nodes, edges = G.build_graph(events(doc(0, "write"), doc(1, "read")))

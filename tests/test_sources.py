@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from emberwatch.functions.columns import decode_hex, entropy, parse_iso
+from emberwatch.functions.columns import decode_hex, entropy, parse_iso, rejected
 from emberwatch.functions.ordered import line_chunk, with_last_known, with_previous, with_running_sum
 from emberwatch.operators import behavior as B
 from emberwatch.operators import intel as I
@@ -274,3 +274,23 @@ def test_call_patterns(spark):
     df = spark.createDataFrame([(i, base + timedelta(seconds=s), "h", 1, c) for i, s, c in calls], "seq long, ts timestamp, host string, pid long, syscall string")
     got = {r.seq: r.reason for r in B.call_patterns(df).collect()}
     assert got == {0: "Suspicious Ptrace", 1: "Suspicious Ptrace", 2: "Ptrace Injection", 3: "Ptrace Injection", 4: None, 5: "Memfd Creation", 6: None}
+
+
+def test_broken_lines_are_refused(spark):
+    good = '{"@timestamp": "2026-01-01T00:00:00Z", "event": {"id": "a", "severity": 2}}'
+    df = spark.createDataFrame([(good,), (good[:-1],), ("",), ("# note",), (None,), ("[1]",), ("{}",)], "value string")
+    assert sorted(r.s for r in conform(df).select(F.col("event.severity").alias("s")).collect()) == [2, 5]
+    assert sorted(r.value for r in rejected(df).collect()) == sorted([good[:-1], "[1]"])
+    flows = df.withColumn("log", F.lit("conn"))
+    assert zeek.parse_lines(flows).count() == 2 and honeypot.parse_lines(df, all_events=True).count() == 0
+
+
+def test_audit_ids_of_two_boots_stay_apart(spark):
+    a = 'type=SYSCALL msg=audit(1700000000.000:7): syscall=59 pid=1'
+    b = 'type=SYSCALL msg=audit(1790000000.000:7): syscall=59 pid=2'
+    assert audit.group_records(audit.parse_lines(lines(spark, a, b))).count() == 2
+
+
+def test_missing_ids_are_the_same_on_every_run(spark):
+    df = conform(spark.createDataFrame([('{"@timestamp": "2026-01-01T00:00:00Z", "message": "m"}',)], "value string"))
+    assert store.prepare(df).first()["event"]["id"] == store.prepare(df).first()["event"]["id"]
