@@ -22,7 +22,7 @@ from emberwatch.functions.columns import glob_to_regex, literal
 from emberwatch.functions.sizing import broadcast_if_small
 from emberwatch.operators import fields as FM
 
-# A rule set is code: it is compiled on the driver, so its size is checked.
+# A rule set is code: it is compiled on the driver. This is a hard limit of one compilation; beyond it nothing runs.
 MAX_RULES = 50_000
 CHUNK = 100
 DASHES = ["-", "/", "–", "—", "―"]
@@ -88,11 +88,26 @@ def _strict_like(field: str, pattern: str, kind: str) -> str:
     return f"{field} rlike {literal('(?s)' + left + body + right)}"
 
 
+def _cidr6(field: str, net: ipaddress.IPv6Network) -> str:
+    """Whether a v6 address, compressed or not, lies in a network: its 32 hex digits are written out and compared. Dotted tails match nothing."""
+    f = f"lower({field})"
+    left, right = (f"coalesce(filter(split(try_element_at(split({f}, '::'), {i}), ':'), x -> x <> ''), cast(array() AS array<string>))" for i in (1, 2))
+    zeros = f"array_repeat('0', if(contains({f}, '::'), 8 - size({left}) - size({right}), 0))"
+    digits = f"array_join(transform(concat({left}, {zeros}, {right}), x -> lpad(x, 4, '0')), '')"
+    whole, bits = divmod(net.prefixlen, 4)
+    want = net.network_address.exploded.replace(":", "")
+    tests = [f"{f} rlike '^[0-9a-f:]*:[0-9a-f:]*$'", f"length({digits}) = 32", f"startswith({digits}, {literal(want[:whole])})"]
+    if bits:
+        first = int(want[whole], 16)
+        among = ", ".join(f"'{n:x}'" for n in range(first, first + (1 << (4 - bits))))
+        tests.append(f"substring({digits}, {whole + 1}, 1) IN ({among})")
+    return "(" + " AND ".join(tests) + ")"
+
+
 def _cidr(field: str, pattern: str) -> str:
     net = ipaddress.ip_network(pattern, strict=False)
     if net.version == 6:
-        head = net.network_address.exploded[: max(4, (net.prefixlen // 16) * 5 - 1)]
-        return f"startswith({field}, {literal(head)})"
+        return _cidr6(field, net)
     lo, hi = int(net.network_address), int(net.broadcast_address)
     octets = [f"try_cast(split({field}, '[.]')[{i}] AS BIGINT) * {256 ** (3 - i)}" for i in range(4)]
     number = " + ".join(octets)
@@ -164,8 +179,11 @@ def _one(raw: str, low: str, pattern, mods: list[str], strict: bool) -> str:
 def _field_predicate(resolve, spec: str, pattern, strict: bool) -> str:
     name, *mods = spec.split("|")
     if strict and "fieldref" in mods:
-        (_, a), b = resolve(name), resolve(str(pattern))
-        return f"coalesce({a} = {b[1] if b else 'NULL'}, false)"
+        a, b = resolve(name), resolve(str(pattern))
+        if a is None or b is None:
+            return "false"
+        kind = next((m for m in mods if m in ("contains", "startswith", "endswith")), "")
+        return f"coalesce({kind}({a[1]}, {b[1]}), false)" if kind else f"coalesce({a[1]} = {b[1]}, false)"
     pair = resolve(name)
     if pair is None:
         values = pattern if isinstance(pattern, list) else [pattern]
@@ -374,10 +392,10 @@ class Fields:
         return df.withColumns({n + "_low": F.lower(F.col(n)) for n in self.columns})
 
 
-def compile_rules(rules: list[Rule], strict: bool, fields: Fields) -> tuple[dict[str, str], dict[str, str]]:
-    """Rule id → SQL predicate, and rule id → why a rule cannot be compiled."""
+def compile_rules(rules: list[Rule], strict: bool, fields: Fields) -> tuple[dict[int, str], dict[int, str]]:
+    """Rule position → SQL predicate, and position → why a rule cannot be compiled. Ids may be missing or repeated."""
     out, skipped = {}, {}
-    for rule in rules:
+    for pos, rule in enumerate(rules):
         resolve = fields.resolver(rule)
         try:
             names = [n for n in rule.detection if n not in ("condition", "timeframe" if strict else "condition")]
@@ -385,9 +403,9 @@ def compile_rules(rules: list[Rule], strict: bool, fields: Fields) -> tuple[dict
             blocks = {n: _block(resolve, rule.detection[n], strict) for n in names}
             blocks = {n: p for n, p in blocks.items() if p is not None}
             condition = rule.detection.get("condition", "")
-            out[rule.id] = _condition(condition, blocks, strict) if condition else "false"
+            out[pos] = _condition(condition, blocks, strict) if condition else "false"
         except (ValueError, SyntaxError, KeyError, TypeError) as e:
-            skipped[rule.id] = str(e)
+            skipped[pos] = str(e)
     return out, skipped
 
 
@@ -417,11 +435,10 @@ def annotate(df: DataFrame, rules: list[Rule], semantics: str = "strict", report
     strict = semantics == "strict"
     fields = Fields(strict)
     predicates, _ = compile_rules(rules, strict, fields)
-    order = {r.id: i for i, r in enumerate(rules)}
-    groups: dict[tuple, list[Rule]] = defaultdict(list)
-    for r in rules:
-        if predicates.get(r.id, "false") != "false":
-            groups[(r.product, r.category, r.service)].append(r)
+    groups: dict[tuple, list[int]] = defaultdict(list)
+    for pos, r in enumerate(rules):
+        if predicates.get(pos, "false") != "false":
+            groups[(r.product, r.category, r.service)].append(pos)
 
     kind = "struct<pos:int,rule_id:string" + (",fields:array<struct<field:string,value:string>>>" if report_fields else ">")
     arrays = []
@@ -430,9 +447,10 @@ def annotate(df: DataFrame, rules: list[Rule], semantics: str = "strict", report
             f"(ls_{n} IS NULL OR ls_{n} = {literal(v)})" for n, v in (("product", product), ("category", category), ("service", service)) if v)
         for i in range(0, len(members), CHUNK):
             items = []
-            for r in members[i:i + CHUNK]:
+            for pos in members[i:i + CHUNK]:
+                r = rules[pos]
                 extra = f", 'fields', {_field_report(r, fields, strict)}" if report_fields else ""
-                items.append(f"CASE WHEN {predicates[r.id]} THEN named_struct('pos', {order[r.id]}, 'rule_id', {literal(r.id)}{extra}) END")
+                items.append(f"CASE WHEN {predicates[pos]} THEN named_struct('pos', {pos}, 'rule_id', {literal(r.id)}{extra}) END")
             arr = f"array_compact(array({', '.join(items)}))"
             arrays.append(f"CASE WHEN {guard} THEN {arr} ELSE array() END" if guard else arr)
 
@@ -452,6 +470,14 @@ def rule_table(spark, rules: list[Rule]) -> DataFrame:
                                        "service string, tactics array<string>, techniques array<string>")
 
 
+def skipped_rules(spark, rules: list[Rule], semantics: str = "strict") -> DataFrame:
+    """Rules that cannot be compiled and take part in nothing, with the reason."""
+    strict = semantics == "strict"
+    _, skipped = compile_rules(rules, strict, Fields(strict))
+    rows = [(pos, rules[pos].id, rules[pos].title, why) for pos, why in skipped.items()]
+    return spark.createDataFrame(rows, "pos int, rule_id string, title string, reason string")
+
+
 def detect(df: DataFrame, rules: list[Rule], semantics: str = "strict", report_fields: bool = False,
            keep: list[str] | None = None) -> DataFrame:
     """One row per event and matching rule, with the rule's attributes."""
@@ -460,6 +486,6 @@ def detect(df: DataFrame, rules: list[Rule], semantics: str = "strict", report_f
     # A plain explode lets Spark infer a filter on the array, which it then pushes down by
     # repeating every predicate; the outer form with a filter on the result does not.
     long = hit.select(*keep, F.explode_outer("hits").alias("h")).where(F.col("h").isNotNull())
-    cols = [F.col("h.rule_id").alias("rule_id")] + ([F.col("h.fields").alias("matched_fields")] if report_fields else [])
+    cols = [F.col("h.pos").alias("pos")] + ([F.col("h.fields").alias("matched_fields")] if report_fields else [])
     attrs = broadcast_if_small(rule_table(df.sparkSession, rules), rows=len(rules))
-    return long.select(*keep, *cols).join(attrs, "rule_id")
+    return long.select(*keep, *cols).join(attrs, "pos")

@@ -185,8 +185,8 @@ def attack_chain(nodes: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------- per event
 
 def _rule_facts(rules: list[Rule]) -> tuple[Column, Column]:
-    """Literal maps rule id → title and rule id → first technique/tactic (null without both)."""
-    titles = _map({r.id: r.title for r in rules})
+    """Literal maps rule position → title and rule position → first technique/tactic (null without both)."""
+    titles = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(i), F.lit(r.title))])
 
     def first(r: Rule) -> Column:
         ok = bool(r.techniques and r.tactics)
@@ -200,7 +200,7 @@ def _rule_facts(rules: list[Rule]) -> tuple[Column, Column]:
             F.lit(LEVEL_SEVERITY.get(r.level, "medium")).alias("severity"),
         )
 
-    return titles, F.create_map(*[x for r in rules for x in (F.lit(r.id), first(r))])
+    return titles, F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(i), first(r))])
 
 
 def analyze(df: DataFrame, rules: list[Rule], semantics: str = "strict") -> DataFrame:
@@ -214,8 +214,8 @@ def analyze(df: DataFrame, rules: list[Rule], semantics: str = "strict") -> Data
     up = filled(col("threat.technique.id"))
     up_name = filled(col("threat.technique.name"))
     local = F.size("hits") > 0
-    named = F.array_sort(F.array_distinct(F.transform("hits", lambda h: titles[h["rule_id"]])))
-    tagged = F.filter(F.transform("hits", lambda h: firsts[h["rule_id"]]), lambda s: s["technique_id"].isNotNull())
+    named = F.array_sort(F.array_distinct(F.transform("hits", lambda h: titles[h["pos"]])))
+    tagged = F.filter(F.transform("hits", lambda h: firsts[h["pos"]]), lambda s: s["technique_id"].isNotNull())
     passed = F.struct(
         up.alias("technique_id"), F.coalesce(up_name, F.lit("Unknown")).alias("technique_name"), F.lit("").alias("tactic_id"),
         F.lit("").alias("tactic_name"), F.lit(UPSTREAM_CONFIDENCE).alias("confidence"), F.lit(UPSTREAM_SEVERITY).alias("severity"))

@@ -69,6 +69,30 @@ def test_cidr(events):
     assert got("reference") == {"10.0.0.7"}
 
 
+def test_cidr_of_long_addresses(events):
+    doc = lambda ip: {"@timestamp": T0, "event": {"id": ip, "category": "network", "dataset": "zeek.conn"}, "source": {"ip": ip}}
+    df = events(*map(doc, ("::1", "::2", "fd00::5", "FE80:0:0:0:0:0:0:1", "fea0::1", "fec0::1", "2001:db8::1", "10.0.0.1", "fe80")))
+    got = lambda net: {x.id for x in X.detect(df, [rule("c", {"s": {"id.orig_h|cidr": net}, "condition": "s"}, "zeek", None)], keep=["event"]).select("event.id").collect()}
+    assert got("::1/128") == {"::1"} and got("fc00::/7") == {"fd00::5"} and got("fe80::/10") == {"FE80:0:0:0:0:0:0:1", "fea0::1"}
+    assert got("2001:db8::/32") == {"2001:db8::1"} and len(got("::/0")) == 7
+
+
+def test_rules_of_equal_ids_and_skipped_rules(events, spark):
+    rules = [rule("", {"s": {"CommandLine": "abc"}, "condition": "s"}), rule("", {"s": {"CommandLine": "xyz"}, "condition": "s"}),
+             rule("", {"s": {"CommandLine": "abc"}, "condition": "s and ("})]
+    got = sorted((r.pos, r.id) for r in X.detect(events(proc("abc"), proc("xyz")), rules, keep=["event"]).select("pos", "event.id").collect())
+    assert got == [(0, "abc"), (1, "xyz")]
+    assert [r.pos for r in X.skipped_rules(spark, rules).collect()] == [2]
+
+
+def test_field_references(events):
+    make = lambda spec, other: [rule("r", {"s": {spec: other}, "condition": "s"})]
+    df = events(proc("/bin/abc -x", process={"command_line": "/bin/abc -x", "executable": "/bin/abc"}))
+    assert X.detect(df, make("CommandLine|fieldref|startswith", "Image")).count() == 1
+    assert X.detect(df, make("CommandLine|fieldref", "Image")).count() == 0
+    assert X.detect(df, make("CommandLine|fieldref", "no such field")).count() == 0
+
+
 def test_unknown_logsource_keys_do_not_conflict(events):
     df = events(proc("abc"), {"@timestamp": T0, "event": {"id": "w", "category": "process", "dataset": "windows"}, "process": {"command_line": "abc"}})
     det = {"s": {"CommandLine|contains": "abc"}, "condition": "s"}
