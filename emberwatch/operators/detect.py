@@ -124,7 +124,8 @@ def _regex(pattern: str, mods: list[str], ignore_case: bool) -> str:
 
 def _one(raw: str, low: str, pattern, mods: list[str], strict: bool) -> str:
     """Predicate for one value. ``raw`` and ``low`` are the field as it is and lowered."""
-    if pattern is None and strict:
+    # blank text counts as missing everywhere, so an empty value asks for the same
+    if strict and (pattern is None or (pattern == "" and not mods)):
         return f"{raw} IS NULL"
     text = str(pattern)
     if not strict:
@@ -343,7 +344,7 @@ class Fields:
             return FM.mapped(FM.WINDOWS_FIELDS[name] + [f"raw.{name}"])
         safe = re.fullmatch(r"[A-Za-z_][\w]*", name)
         if not safe:
-            return None
+            return FM.odd_key(name)
         return F.coalesce(FM.path_column(f"raw.{name}"), FM.path_column(f"raw.EventData.{name}"))
 
     def _table(self, table: dict, name: str) -> Column | None:

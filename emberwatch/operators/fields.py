@@ -91,6 +91,16 @@ def path_column(path: str) -> Column | None:
     return filled(F.col(f"`{path}`") if path == "@timestamp" else F.col(path))
 
 
+def odd_key(name: str) -> Column | None:
+    """Text of a key of the raw record that is no plain word, as it is or, with dots, as a path; None for names a path cannot hold."""
+    if any(c in name for c in "'[]*\\") or not name.strip():
+        return None
+    found = [f"$['{name}']"]
+    if "." in name and all(name.split(".")):
+        found.append("$" + "".join(f"['{part}']" for part in name.split(".")))
+    return F.coalesce(*[filled(F.get_json_object(col("raw"), p)) for p in found])
+
+
 def mapped(paths: list[str]) -> Column:
     cols = [c for c in (path_column(p) for p in paths) if c is not None]
     return F.coalesce(*cols) if cols else F.lit(None).cast("string")

@@ -85,6 +85,15 @@ def test_rules_of_equal_ids_and_skipped_rules(events, spark):
     assert [r.pos for r in X.skipped_rules(spark, rules).collect()] == [2]
 
 
+def test_odd_field_names_and_empty_values(events):
+    raw = json.dumps({"cs-uri-query": "?x=abc", "userIdentity": {"type": "Root"}, "a.b": "flat"})
+    df = events(proc("c", raw=raw))
+    hits = lambda block: X.detect(df, [rule("r", {"s": block, "condition": "s"})]).count()
+    assert hits({"cs-uri-query|contains": "ABC"}) == 1 and hits({"cs-uri-query": "abc"}) == 0
+    assert hits({"userIdentity.type": "root"}) == 1 and hits({"a.b": "flat"}) == 1 and hits({"no-such-key": "x"}) == 0
+    assert hits({"no-such-key": ""}) == 1 and hits({"CommandLine": ""}) == 0
+
+
 def test_field_references(events):
     make = lambda spec, other: [rule("r", {"s": {spec: other}, "condition": "s"})]
     df = events(proc("/bin/abc -x", process={"command_line": "/bin/abc -x", "executable": "/bin/abc"}))
