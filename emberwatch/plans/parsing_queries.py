@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberwatch.functions.columns import col, decode_hex, iso, parse_iso, rejected
+from emberwatch.functions.columns import col, decode_hex, fence, iso, parse_iso, rejected
 from emberwatch.operators import behavior as B
 from emberwatch.operators import labels as L
 from emberwatch.plans.registry import query
@@ -243,7 +243,7 @@ def memory_region_rows(spark, folder):
 def documents_round_trip(spark, folder):
     """Events written as JSON text and read back keep their labels."""
     docs = to_documents(A.unified_events(spark, folder))
-    return L.with_labels(conform(docs)).groupBy("label").agg(F.count(F.lit(1)).alias("events"))
+    return L.with_labels(conform(fence(docs, ["value"]))).groupBy("label").agg(F.count(F.lit(1)).alias("events"))
 
 
 @query("inferred_categories", with_(EVENTS) + """
