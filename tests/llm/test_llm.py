@@ -120,6 +120,53 @@ def test_passages(spark, docs, empty, texts):
     assert passages.near_passages(empty).count() == 0
 
 
+def brute_passages(a, b, least=46, similarity=0.8):
+    """Whether two token sequences hold similar intervals, by all interval pairs of near equal length."""
+    for i in range(len(a) - least + 1):
+        for j in range(len(b) - least + 1):
+            for n in (least, least + 5, least + 10):
+                for m in (n - 1, n, n + 1):
+                    x, y = set(a[i:i + n].tolist()), set(b[j:j + m].tolist())
+                    if i + n <= len(a) and j + m <= len(b) and m >= least and len(x & y) >= similarity * len(x | y):
+                        return True
+    return False
+
+
+def test_passages_that_lead_no_key(spark):
+    """A frequent line under whose key neither the smallest nor the largest document has the passage of two others."""
+    rnd = random.Random(11)
+    line, passage = prose(rnd, 30), prose(rnd, 60)
+    rows = [(i, prose(rnd, 30) + " " + line + " " + (passage if i in (7, 8) else prose(rnd, 60))) for i in range(16)]
+    got = {r["doc_id"]: r for r in passages.near_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i for i, r in got.items() if r["n_repeated"]} == {7, 8} and got[8]["class_id"] == 7
+    assert got[7]["n_repeated"] >= 90 and got[7]["passages"] == got[8]["passages"]
+
+
+def test_passages_across_rounds(spark):
+    """Groups that share a line but no passage with each other: each is found, and none is joined to another."""
+    rnd = random.Random(12)
+    line = prose(rnd, 30)
+    shared = [line + " " + prose(rnd, 50) for _ in range(6)]
+    rows = [(10 * g + k, prose(rnd, 30) + " " + x + " " + prose(rnd, 20)) for g, x in enumerate(shared) for k in range(3)]
+    got = passages.near_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r["class_id"] == r["doc_id"] // 10 * 10 and r["n_repeated"] >= 80 for r in got)
+
+
+def test_keys_meet_for_certain():
+    """Every similar pair has a key in common, wherever its edits are."""
+    rnd = random.Random(14)
+    for _ in range(200):
+        n = rnd.choice([50, 55, 70, 95, 140])
+        a = prose(rnd, n).split()
+        b = list(a)
+        for _ in range(rnd.choice([1, 1, 2, 3])):
+            at = rnd.randrange(len(b))
+            b[at:at + rnd.choice([0, 1])] = rnd.choice([[], ["new"]])
+        x, y = (passages.shingles_of(" ".join(w)) for w in (a, b))
+        keys = [set(passages.compact_windows(passages.grams_of(z), passages.RUN, 1)[0].tolist()) for z in (x, y)]
+        assert keys[0] & keys[1] or not brute_passages(x, y)
+
+
 def test_compact_windows_are_the_tree():
     tokens = np.random.default_rng(3).integers(0, 1 << 60, 300).astype(np.uint64)
     h, left, centre, right = passages.compact_windows(tokens, 20, 1)
