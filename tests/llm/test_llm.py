@@ -152,6 +152,18 @@ def test_passages_across_rounds(spark):
     assert all(r["class_id"] == r["doc_id"] // 10 * 10 and r["n_repeated"] >= 80 for r in got)
 
 
+@pytest.mark.parametrize("n", [60, 80, 100])
+@pytest.mark.parametrize("kind", ["insert", "delete", "change"])
+def test_passages_with_an_edit(spark, n, kind):
+    rnd = random.Random(n)
+    words = prose(rnd, n).split()
+    near = words[:n // 2] + (["new"] if kind != "delete" else []) + words[n // 2 + (kind != "insert"):]
+    rows = [(1, prose(rnd, 90) + " " + " ".join(words) + " " + prose(rnd, 70)), (2, prose(rnd, 40) + " " + " ".join(near) + " " + prose(rnd, 95))]
+    got = {r["doc_id"]: r for r in passages.near_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1]["class_id"] == got[2]["class_id"] == 1
+    assert abs(got[1]["n_repeated"] - n) <= 2 and abs(got[2]["n_repeated"] - len(near)) <= 2
+
+
 def test_keys_meet_for_certain():
     """Every similar pair has a key in common, wherever its edits are."""
     rnd = random.Random(14)
