@@ -164,6 +164,23 @@ def test_passages_with_an_edit(spark, n, kind):
     assert abs(got[1]["n_repeated"] - n) <= 2 and abs(got[2]["n_repeated"] - len(near)) <= 2
 
 
+def test_passages_behind_a_repeated_line(spark):
+    """The leader holds the frequent line twice, and only the second time before the passage."""
+    rnd = random.Random(13)
+    line, passage = prose(rnd, 25), prose(rnd, 60)
+    rows = [(i, line + " " + prose(rnd, 60) + " " + line + " " + passage + " " + line + " " + prose(rnd, 60)) for i in range(4)]
+    got = passages.near_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r["class_id"] == 0 and any(s["start"] <= 85 and s["end"] >= 195 for s in r["passages"]) for r in got)
+
+
+def test_all_alignments_are_tried():
+    rnd = np.random.default_rng(6)
+    line, passage = rnd.integers(0, 1 << 60, 20), rnd.integers(0, 1 << 60, 60)
+    mixed = lambda *x: np.concatenate([rnd.integers(0, 1 << 60, y) if isinstance(y, int) else y for y in x]).astype(np.uint64)
+    a, b = mixed(line, 50, line, passage), mixed(line, 90, line, 30, line, passage)
+    assert passages.matches(a, b, [([5, 75], [5, 115, 165])], 46, 0.8) == {(70, 150, 160, 240)}
+
+
 def test_keys_meet_for_certain():
     """Every similar pair has a key in common, wherever its edits are."""
     rnd = random.Random(14)
