@@ -300,6 +300,22 @@ def test_sharding(docs, empty, shards):
     assert sharding.shard_rows(empty).count() == 0
 
 
+@pytest.mark.parametrize("copies", [[8] * 300, [55, 40, 30, 12] * 10 + [5] * 160 + [1] * 200])
+def test_sharding_of_mostly_copies(spark, copies):
+    """Groups up to a whole shard stay together where (nearly) all rows are linked."""
+    rows = [(g, f"text {g}") for g, n in enumerate(copies) for _ in range(n)]
+    got = sharding.shard_rows(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), shards=40).collect()
+    counts = collections.Counter(r["shard"] for r in got)
+    assert len(got) == len(rows) and len(counts) == 40 and max(counts.values()) - min(counts.values()) <= 1
+    at = collections.defaultdict(collections.Counter)
+    for r in got:
+        at[r["doc_id"]][r["shard"]] += 1
+    links = sum(sum(c.values()) - 1 for c in at.values())
+    uncut = sum(max(c.values()) - 1 for c in at.values())
+    print("uncut links", uncut, "of", links)
+    assert uncut >= 0.85 * links
+
+
 @pytest.mark.parametrize("block_bytes", [1 << 20, 150])
 def test_decontamination(spark, docs, empty, texts, block_bytes):
     items = [(1, " ".join(texts[2].split()[10:30]).upper()), (20, texts[14]), (3, "one"), (4, ""), (5, None), (None, texts[5]), (6, "never said words"), (20, texts[14])]
