@@ -121,3 +121,20 @@ def test_expansion_matches_brute_force(events):
             break
     got = {r.seq: r.depth for r in C.expand(slim.where(F.col("seq") == 0), slim, 20).collect()}
     assert got == depth
+
+
+def test_attack_path_goes_to_the_end_of_a_long_chain(events, spark, monkeypatch):
+    """Fourteen hops, 50 minutes apart; only neighbours are within the hour."""
+    from emberwatch.plans import graph_queries as Q
+
+    docs = [{"@timestamp": at(3000 * i), "event": {"id": f"e{i}", "category": "process"}, "host": {"name": "h"},
+             "process": {"pid": 100 + i, "parent": {"pid": 99 + i}}} for i in range(15)]
+    monkeypatch.setattr(Q, "unified_events", lambda spark, folder: events(*docs))
+    monkeypatch.setattr(Q.S, "seeds", lambda ev: ev)
+    monkeypatch.setattr(Q.S, "best_seed", lambda seeds: seeds.where("seq = 0"))
+    depth, frontier = {0: 0}, {0}
+    for d in range(1, 20):
+        frontier = {j for i in frontier for j in range(len(docs)) if j not in depth and _brute(docs[i], docs[j], Q.HOUR)}
+        depth.update({j: d for j in frontier})
+    assert max(depth.values()) == 14
+    assert {r.seq: r.depth for r in Q.attack_path(spark, "").collect()} == depth
