@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -260,7 +261,7 @@ def _searched(vectors: DataFrame, queries: Queries, n_docs: int, n_terms: int) -
             n = batch.column("n").to_numpy()
             for a in range(0, len(n), TREE):
                 t, f = term.slice(a, TREE), tf.slice(a, TREE)
-                first = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(t).to_numpy(zero_copy_only=False))]).astype(np.int64)
+                first = np.concatenate([[0], np.cumsum(pc.list_value_length(t).to_numpy(zero_copy_only=False))]).astype(np.int64)
                 size = n[a:a + TREE]
                 m = 50 + (50 * size * n_docs) // n_terms
                 occurs = f.flatten().to_numpy().astype(np.int64)

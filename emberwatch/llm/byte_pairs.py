@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -248,7 +249,7 @@ class Merges:
 def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
     """Row ranges of about _SLICE bytes of text."""
     start, size = 0, 0
-    for k, n in enumerate(pa.compute.binary_length(texts).to_pylist()):
+    for k, n in enumerate(pc.binary_length(texts).to_pylist()):
         size += n or 0
         if size >= _SLICE:
             yield start, k + 1
