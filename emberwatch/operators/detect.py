@@ -21,10 +21,13 @@ from pyspark.sql import functions as F
 from emberwatch.functions.columns import glob_to_regex, literal
 from emberwatch.functions.sizing import broadcast_if_small
 from emberwatch.operators import fields as FM
+from emberwatch.operators.literals import WORD, LiteralIndex, Pred, all_of, anchored, any_of, available, like, longest, never, of_regex, pred
 
 # A rule set is code: it is compiled on the driver. This is a hard limit of one compilation; beyond it nothing runs.
 MAX_RULES = 50_000
 CHUNK = 100
+# Rule sets above this size are searched for the texts of their rules first.
+PREFILTER_RULES = 200
 DASHES = ["-", "/", "–", "—", "―"]
 KNOWN_MODIFIERS = ["contains", "startswith", "endswith", "base64", "re", "cidr"]
 
@@ -54,38 +57,49 @@ def collect_rules(rules: DataFrame) -> list[Rule]:
 # --------------------------------------------------------------------------- values
 
 
-def _like_text(field: str, pattern: str) -> str:
+def _like_text(field: str, pattern: str) -> Pred:
     """Equality without case; ``*`` makes it a wildcard for the whole text."""
     p = pattern.lower()
     if "*" in p:
         core = p.strip("*")
         if core and not re.search(r"[*?\[]", core):
             head, tail = p.startswith("*"), p.endswith("*")
-            if head and tail:
-                return f"contains({field}, {literal(core)})"
-            return f"endswith({field}, {literal(core)})" if head else f"startswith({field}, {literal(core)})"
-        return f"{field} rlike {literal(glob_to_regex(p))}"
-    return f"{field} = {literal(p)}"
+            op = "contains" if head and tail else "endswith" if head else "startswith"
+            return _has(op, field, core)
+        return pred(f"{field} rlike {literal(glob_to_regex(p))}", None if "[" in p else longest(re.split(r"[*?]", p)))
+    return _has("=", field, p)
 
 
-def _strict_like(field: str, pattern: str, kind: str) -> str:
+def _has(op: str, field: str, value: str, low: str | None = None) -> Pred:
+    """``value`` equals, starts, ends or is contained in ``field``; ``low`` is the lowered column where ``field`` is the raw one."""
+    sql = f"{field} = {literal(value)}" if op == "=" else f"{op}({field}, {literal(value)})"
+    name = low or field
+    need = longest([value]) if op == "contains" else anchored(name, value, op != "endswith", op != "startswith")
+    return pred(sql, need)
+
+
+def _strict_like(field: str, pattern: str, kind: str) -> Pred:
     """Wildcards of the rule language: ``*`` and ``?``, a backslash makes them literal."""
     p = pattern.lower()
     if not re.search(r"[*?]", p):
-        op = {"contains": "contains", "startswith": "startswith", "endswith": "endswith"}.get(kind)
-        return f"{op}({field}, {literal(p)})" if op else f"{field} = {literal(p)}"
-    parts, i = [], 0
+        return _has(kind if kind in ("contains", "startswith", "endswith") else "=", field, p)
+    parts, i, texts = [], 0, [""]
     while i < len(p):
         if p[i] == "\\" and i + 1 < len(p) and p[i + 1] in "*?":
             parts.append(re.escape(p[i + 1]))
+            texts[-1] += p[i + 1]
             i += 2
             continue
         parts.append({"*": ".*", "?": "."}.get(p[i], re.escape(p[i])))
+        if p[i] in "*?":
+            texts.append("")
+        else:
+            texts[-1] += p[i]
         i += 1
     body = "".join(parts)
     left = "" if kind in ("contains", "endswith") else "^"
     right = "" if kind in ("contains", "startswith") else "$"
-    return f"{field} rlike {literal('(?s)' + left + body + right)}"
+    return pred(f"{field} rlike {literal('(?s)' + left + body + right)}", longest(texts))
 
 
 def _cidr6(field: str, net: ipaddress.IPv6Network) -> str:
@@ -122,35 +136,35 @@ def _regex(pattern: str, mods: list[str], ignore_case: bool) -> str:
     return f"(?{flags}){body}" if flags else body
 
 
-def _one(raw: str, low: str, pattern, mods: list[str], strict: bool) -> str:
+def _one(raw: str, low: str, pattern, mods: list[str], strict: bool) -> Pred:
     """Predicate for one value. ``raw`` and ``low`` are the field as it is and lowered."""
     # blank text counts as missing everywhere, so an empty value asks for the same
     if strict and (pattern is None or (pattern == "" and not mods)):
-        return f"{raw} IS NULL"
+        return pred(f"{raw} IS NULL")
     text = str(pattern)
     if not strict:
         for mod in mods:
             if mod in ("contains", "startswith", "endswith"):
-                return f"{mod}({low}, {literal(text.lower())})"
+                return _has(mod, low, text.lower())
             if mod == "base64":
-                return f"contains({raw}, {literal(text)})"
+                return _has("contains", raw, text, low)
             if mod == "re":
-                return f"{raw} rlike {literal(_regex(text, [], True))}"
+                return pred(f"{raw} rlike {literal(_regex(text, [], True))}", *of_regex(text))
             if mod == "cidr":
                 if "/" not in text:
-                    return f"{raw} = {literal(text)}"
-                return f"startswith({raw}, {literal(text.split('/')[0].rsplit('.', 1)[0])})"
+                    return _has("=", raw, text, low)
+                return _has("startswith", raw, text.split("/")[0].rsplit(".", 1)[0], low)
         return _like_text(low, text)
 
     if "cidr" in mods:
-        return _cidr(raw, text)
+        return pred(_cidr(raw, text))
     if "re" in mods:
-        return f"{raw} rlike {literal(_regex(text, mods, False))}"
+        return pred(f"{raw} rlike {literal(_regex(text, mods, False))}", *of_regex(text))
     if "exists" in mods:
-        return f"{raw} IS {'NOT ' if text.lower() == 'true' else ''}NULL"
+        return pred(f"{raw} IS {'NOT ' if text.lower() == 'true' else ''}NULL")
     for mod, op in (("lt", "<"), ("lte", "<="), ("gt", ">"), ("gte", ">=")):
         if mod in mods:
-            return f"try_cast({raw} AS DOUBLE) {op} {float(pattern)}"
+            return pred(f"try_cast({raw} AS DOUBLE) {op} {float(pattern)}")
     kind = next((m for m in mods if m in ("contains", "startswith", "endswith")), "")
     variants = [text]
     if "windash" in mods:
@@ -165,47 +179,51 @@ def _one(raw: str, low: str, pattern, mods: list[str], strict: bool) -> str:
                 start = (0, 2, 3)[off]
                 stop = {0: None, 1: -3, 2: -2}[(len(b) + off) % 3]
                 pieces.append(enc[start:stop])
-        return "(" + " OR ".join(f"contains({raw}, {literal(p)})" for p in pieces) + ")"
+        return _or([_has("contains", raw, p, low) for p in pieces])
     if "base64" in mods:
-        variants = [base64.b64encode(b).decode() for b in coded]
-        return "(" + " OR ".join(
-            f"contains({raw}, {literal(v)})" if kind == "contains" else f"{raw} = {literal(v)}" for v in variants) + ")"
+        return _or([_has("contains" if kind == "contains" else "=", raw, base64.b64encode(b).decode(), low) for b in coded])
     if "cased" in mods:
-        op = kind or "="
-        return "(" + " OR ".join(f"{op}({raw}, {literal(v)})" if kind else f"{raw} = {literal(v)}" for v in variants) + ")"
+        return _or([_has(kind or "=", raw, v, low) for v in variants])
     preds = [_strict_like(low, v, kind) for v in variants]
-    return preds[0] if len(preds) == 1 else "(" + " OR ".join(preds) + ")"
+    return preds[0] if len(preds) == 1 else _or(preds)
+
+
+def _or(preds: list[str]) -> Pred:
+    return any_of(preds, "(" + " OR ".join(preds) + ")")
 
 
-def _field_predicate(resolve, spec: str, pattern, strict: bool) -> str:
+def _and(preds: list[str]) -> Pred:
+    return all_of(preds, "(" + " AND ".join(preds) + ")")
+
+
+def _field_predicate(resolve, spec: str, pattern, strict: bool) -> Pred:
     name, *mods = spec.split("|")
     if strict and "fieldref" in mods:
         a, b = resolve(name), resolve(str(pattern))
         if a is None or b is None:
-            return "false"
+            return never()
         kind = next((m for m in mods if m in ("contains", "startswith", "endswith")), "")
-        return f"coalesce({kind}({a[1]}, {b[1]}), false)" if kind else f"coalesce({a[1]} = {b[1]}, false)"
+        return pred(f"coalesce({kind}({a[1]}, {b[1]}), false)" if kind else f"coalesce({a[1]} = {b[1]}, false)")
     pair = resolve(name)
     if pair is None:
         values = pattern if isinstance(pattern, list) else [pattern]
-        return "true" if strict and None in values else "false"
+        return pred("true") if strict and None in values else never()
     raw, low = pair
     every = "all" in mods
     rest = [m for m in mods if m != "all"] if isinstance(pattern, list) and every else mods
     values = pattern if isinstance(pattern, list) else [pattern]
     if not values:
-        return "true" if every else "false"
-    preds = [_one(raw, low, v, rest, strict) for v in values]
-    joined = (" AND " if every else " OR ").join(preds)
-    return f"coalesce(({joined}), false)"
+        return pred("true") if every else never()
+    joined = (_and if every else _or)([_one(raw, low, v, rest, strict) for v in values])
+    return like(f"coalesce({joined}, false)", joined)
 
 
-def _keywords(values, every: bool, strict_text: str) -> str:
-    preds = [_strict_like(strict_text, str(v), "contains") for v in values]
-    return f"coalesce(({(' AND ' if every else ' OR ').join(preds)}), false)"
+def _keywords(values, every: bool, strict_text: str) -> Pred:
+    joined = (_and if every else _or)([_strict_like(strict_text, str(v), "contains") for v in values])
+    return like(f"coalesce({joined}, false)", joined)
 
 
-def _map_predicate(resolve, block: dict, strict: bool) -> str:
+def _map_predicate(resolve, block: dict, strict: bool) -> Pred:
     preds = []
     for spec, pattern in block.items():
         if strict and spec.split("|")[0] == "":
@@ -213,10 +231,10 @@ def _map_predicate(resolve, block: dict, strict: bool) -> str:
             preds.append(_keywords(vals, "all" in spec.split("|"), "m_text"))
         else:
             preds.append(_field_predicate(resolve, spec, pattern, strict))
-    return "(" + " AND ".join(preds) + ")" if preds else "true"
+    return _and(preds) if preds else pred("true")
 
 
-def _block(resolve, block, strict: bool) -> str | None:
+def _block(resolve, block, strict: bool) -> Pred | None:
     """Predicate of one named block, None when its shape is not evaluated."""
     if isinstance(block, dict):
         return _map_predicate(resolve, block, strict)
@@ -227,7 +245,7 @@ def _block(resolve, block, strict: bool) -> str | None:
     words = [b for b in items if not isinstance(b, dict)]
     if words:
         maps.append(_keywords(words, False, "m_text"))
-    return "(" + " OR ".join(maps) + ")"
+    return _or(maps)
 
 
 # --------------------------------------------------------------------------- conditions
@@ -235,21 +253,22 @@ def _block(resolve, block, strict: bool) -> str | None:
 _QUANTIFIED = re.compile(r"(\d+|all|any)\s+of\s+(\w+\*?)", re.I)
 
 
-def _count(preds: list[str], amount: str) -> str:
+def _count(preds: list[str], amount: str) -> Pred:
     if not preds:
-        return "false"
+        return never()
     if amount == "all":
-        return "(" + " AND ".join(preds) + ")"
+        return _and(preds)
     n = 1 if amount == "any" else int(amount)
     if n == 1:
-        return "(" + " OR ".join(preds) + ")"
-    return "((" + " + ".join(f"cast({p} AS INT)" for p in preds) + f") >= {n})"
+        return _or(preds)
+    sql = "((" + " + ".join(f"cast({p} AS INT)" for p in preds) + f") >= {n})"
+    return any_of(preds, sql) if n else pred(sql)
 
 
-UNDEFINED = "CAST(NULL AS BOOLEAN)"
+UNDEFINED = never("CAST(NULL AS BOOLEAN)")
 
 
-def _boolean(node, names: dict[str, str]) -> tuple[str, bool]:
+def _boolean(node, names: dict[str, str]) -> tuple[Pred, bool]:
     """SQL of a Python boolean expression, and whether it can be undefined.
 
     An undefined name makes the left-to-right evaluation fail, which is written
@@ -260,26 +279,27 @@ def _boolean(node, names: dict[str, str]) -> tuple[str, bool]:
     if isinstance(node, ast.BoolOp):
         conj = isinstance(node.op, ast.And)
         parts = [_boolean(v, names) for v in node.values]
+        join = all_of if conj else any_of
         if not any(loose for _, loose in parts):
-            return "(" + (" AND " if conj else " OR ").join(p for p, _ in parts) + ")", False
+            return join([p for p, _ in parts], "(" + (" AND " if conj else " OR ").join(p for p, _ in parts) + ")"), False
         out = parts[-1][0]
         for p, _ in reversed(parts[:-1]):
             decided = f"NOT {p} THEN false" if conj else f"{p} THEN true"
             out = f"CASE WHEN {p} IS NULL THEN {UNDEFINED} WHEN {decided} ELSE {out} END"
-        return f"({out})", True
+        return join([p for p, _ in parts], f"({out})"), True
     if isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.Not):
         inner, loose = _boolean(node.operand, names)
-        return f"(NOT {inner})", loose
+        return pred(f"(NOT {inner})"), loose
     if isinstance(node, ast.Name):
         return names.get(node.id, UNDEFINED), node.id not in names
     raise ValueError("unsupported condition")
 
 
-def _condition(condition, blocks: dict[str, str], strict: bool) -> str:
+def _condition(condition, blocks: dict[str, str], strict: bool) -> Pred:
     if isinstance(condition, list):
         if not strict:
-            return "false"
-        return "(" + " OR ".join(_condition(c, blocks, strict) for c in condition) + ")"
+            return never()
+        return _or([_condition(c, blocks, strict) for c in condition])
     text = str(condition).strip()
     if not strict:
         lead = re.match(r"(\d+|all)\s+of\s+(\w+)\*", text)
@@ -288,11 +308,13 @@ def _condition(condition, blocks: dict[str, str], strict: bool) -> str:
         guard = re.match(r"(\w+)\s+and\s+not\s+(\d+|all)\s+of\s+(\w+)\*", text)
         if guard:
             group = _count([p for n, p in blocks.items() if n.startswith(guard[3])], guard[2])
-            return f"({blocks.get(guard[1], 'false')} AND NOT {group})"
+            first = blocks.get(guard[1], never())
+            return like(f"({first} AND NOT {group})", first)
         try:
-            return f"coalesce({_boolean(ast.parse(text, mode='eval'), blocks)[0]}, false)"
+            found = _boolean(ast.parse(text, mode="eval"), blocks)[0]
+            return like(f"coalesce({found}, false)", found)
         except (SyntaxError, ValueError):
-            return "false"
+            return never()
 
     if "|" in text:
         raise ValueError("aggregating conditions are not row predicates")
@@ -312,7 +334,8 @@ def _condition(condition, blocks: dict[str, str], strict: bool) -> str:
 
     body = _QUANTIFIED.sub(replace, text)
     body = re.sub(r"\b(AND|OR|NOT)\b", lambda m: m[1].lower(), body)
-    return f"coalesce({_boolean(ast.parse(body, mode='eval'), names)[0]}, false)"
+    found = _boolean(ast.parse(body, mode="eval"), names)[0]
+    return like(f"coalesce({found}, false)", found)
 
 
 # --------------------------------------------------------------------------- fields
@@ -393,7 +416,7 @@ class Fields:
         return df.withColumns({n + "_low": F.lower(F.col(n)) for n in self.columns})
 
 
-def compile_rules(rules: list[Rule], strict: bool, fields: Fields) -> tuple[dict[int, str], dict[int, str]]:
+def compile_rules(rules: list[Rule], strict: bool, fields: Fields) -> tuple[dict[int, Pred], dict[int, str]]:
     """Rule position → SQL predicate, and position → why a rule cannot be compiled. Ids may be missing or repeated."""
     out, skipped = {}, {}
     for pos, rule in enumerate(rules):
@@ -404,7 +427,7 @@ def compile_rules(rules: list[Rule], strict: bool, fields: Fields) -> tuple[dict
             blocks = {n: _block(resolve, rule.detection[n], strict) for n in names}
             blocks = {n: p for n, p in blocks.items() if p is not None}
             condition = rule.detection.get("condition", "")
-            out[pos] = _condition(condition, blocks, strict) if condition else "false"
+            out[pos] = _condition(condition, blocks, strict) if condition else never()
         except (ValueError, SyntaxError, KeyError, TypeError) as e:
             skipped[pos] = str(e)
     return out, skipped
@@ -426,44 +449,70 @@ def _field_report(rule: Rule, fields: Fields, strict: bool) -> str:
     return f"array_distinct(array_compact(array({', '.join(entries)})))"
 
 
-def annotate(df: DataFrame, rules: list[Rule], semantics: str = "strict", report_fields: bool = False) -> DataFrame:
+def _guard(source: tuple) -> str:
+    return " AND ".join(f"(ls_{n} IS NULL OR ls_{n} = {literal(v)})" for n, v in zip(("product", "category", "service"), source) if v)
+
+
+def annotate(df: DataFrame, rules: list[Rule], semantics: str = "strict", report_fields: bool = False, prefilter: bool | None = None) -> DataFrame:
     """Adds ``hits``, the rules every event matches, without moving a row.
 
     Rules are grouped by log source: an event evaluates only the groups its own
     log source does not conflict with. Within a group the predicates sit in
     arrays of about a hundred so that generated methods stay compilable.
+
+    With ``prefilter`` (by default for large rule sets) one pass over an event's fields
+    finds the texts that rules cannot do without, and only the rules whose texts were met
+    are evaluated. The hits are the same.
     """
     strict = semantics == "strict"
     fields = Fields(strict)
     predicates, _ = compile_rules(rules, strict, fields)
-    groups: dict[tuple, list[int]] = defaultdict(list)
-    for pos, r in enumerate(rules):
-        if predicates.get(pos, "false") != "false":
-            groups[(r.product, r.category, r.service)].append(pos)
+    predicates = {pos: p for pos, p in predicates.items() if p != "false" and not p.never}
+    source = {pos: (rules[pos].product, rules[pos].category, rules[pos].service) for pos in predicates}
+    if prefilter is None:
+        prefilter = len(predicates) > PREFILTER_RULES and available()
+    index = LiteralIndex(predicates, source) if prefilter else None
+    if index is not None and not index.slots:
+        index = None
 
     kind = "struct<pos:int,rule_id:string" + (",fields:array<struct<field:string,value:string>>>" if report_fields else ">")
-    arrays = []
-    for (product, category, service), members in groups.items():
-        guard = " AND ".join(
-            f"(ls_{n} IS NULL OR ls_{n} = {literal(v)})" for n, v in (("product", product), ("category", category), ("service", service)) if v)
-        for i in range(0, len(members), CHUNK):
-            items = []
-            for pos in members[i:i + CHUNK]:
-                r = rules[pos]
-                extra = f", 'fields', {_field_report(r, fields, strict)}" if report_fields else ""
-                items.append(f"CASE WHEN {predicates[pos]} THEN named_struct('pos', {pos}, 'rule_id', {literal(r.id)}{extra}) END")
-            arr = f"array_compact(array({', '.join(items)}))"
-            arrays.append(f"CASE WHEN {guard} THEN {arr} ELSE array() END" if guard else arr)
+
+    def tested(members: list[int]) -> str:
+        items = []
+        for pos in members:
+            extra = f", 'fields', {_field_report(rules[pos], fields, strict)}" if report_fields else ""
+            items.append(f"CASE WHEN {predicates[pos]} THEN named_struct('pos', {pos}, 'rule_id', {literal(rules[pos].id)}{extra}) END")
+        return f"array_compact(array({', '.join(items)}))"
+
+    def guarded(guard: str, arr: str) -> str:
+        return f"CASE WHEN {guard} THEN {arr} ELSE array() END" if guard else arr
+
+    groups: dict[tuple, list[int]] = defaultdict(list)
+    for pos in predicates if index is None else index.rest:
+        groups[source[pos]].append(pos)
+    arrays = [guarded(_guard(key), tested(members[i:i + CHUNK])) for key, members in groups.items() for i in range(0, len(members), CHUNK)]
 
     out = FM.with_logsource(df)
     out = fields.attach(out)
     if strict:
         out = out.withColumn("m_text", F.lower(F.concat_ws(" ", F.col("message"), F.col("raw"), F.col("process.command_line"))))
+    if index is not None:
+        out = index.attach(out, {n: F.col(n) for n in searched(index, fields, strict)})
+        for w in range(index.words):
+            slots = [s for s in range(len(index.slots)) if s // WORD == w]
+            met = [guarded(index.where(s) + "".join(f" AND {g}" for g in [_guard(source[index.slots[s][0]])] if g), tested(index.slots[s])) for s in slots]
+            # most events meet no text of most words
+            arrays.append(guarded(f"met.w{w} <> 0", f"concat({', '.join(met)})" if len(met) > 1 else met[0]))
     hits = f"array_sort(concat({', '.join(arrays)}))" if arrays else "array()"
     out = out.withColumn("hits", F.expr(f"cast({hits} AS array<{kind}>)"))
     return out.select(*df.columns, "hits")
 
 
+def searched(index: LiteralIndex, fields: Fields, strict: bool) -> list[str]:
+    """Lowered columns the automaton reads: those with a named text, and all others, since a contained text names no field."""
+    return [f"{n}_low" for n in fields.columns] + (["m_text"] if strict else [])
+
+
 def rule_table(spark, rules: list[Rule]) -> DataFrame:
     """Attributes of the rules, as many rows as rules."""
     rows = [(i, r.id, r.title, r.level, r.product, r.category, r.service, r.tactics, r.techniques) for i, r in enumerate(rules)]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberwatch.functions.columns import literal, pick
+from emberwatch.operators.detect import Rule
 from emberwatch.sources import tables as A
 
 COMMS = A.PROCESSES + ["sleep", "date"]
@@ -129,3 +130,27 @@ def syscalls(spark: SparkSession, folder: str) -> DataFrame:
     return A.activity(spark, folder).select(
         F.col("event_id").alias("seq"), "ts", F.concat(F.lit("host-"), (uid % 20).cast("string")).alias("host"), (1000 + uid).alias("pid"),
         _choose(A.SYSCALLS, k % 6).alias("syscall"), F.md5((F.floor(k / 34)).cast("string")).alias("signature"))
+
+
+# Parts of command lines that the rules of ``rule_grid`` ask for, and names of programs beside those of the activity table.
+COMMAND_PARTS = [["-enc"], ["/dev/tcp", ">&"], ["http://", ".sh"], ["/etc/"], ["-la"], ["evil.example", "/tmp/"], ["/var/www/"], ["-e ", "/bin/sh"],
+                 ["-urlcache"], ["/all"], ["base64", "-d"], ["-rf"]]
+OWN_PROGRAMS = 288
+
+
+def rule_grid() -> list[tuple[str, str, str, list[str], str]]:
+    """A large rule set of our own making: (id, product, end of the image, parts of the command line, start that is left alone)."""
+    images = [e[max(e.rfind("/"), e.rfind("\\")):].lower() for e in A.EXECUTABLES]
+    images += [f"\\agent{n:03}.exe" if n % 2 else f"/agent{n:03}" for n in range(OWN_PROGRAMS)]
+    out = []
+    for i, image in enumerate(images):
+        product = "windows" if image.startswith("\\") else "linux"
+        out += [(f"grid-{i:03}-{k:02}", product, image, parts, f"quiet{k} ") for k, parts in enumerate(COMMAND_PARTS)]
+    return out
+
+
+def grid_rules() -> list[Rule]:
+    """The rules of ``rule_grid`` in the rule language."""
+    return [Rule(i, i, "low", product, "process_creation", None, {
+        "selection_image": {"Image|endswith": image}, "selection_line": {"CommandLine|contains|all": parts}, "filter_quiet": {"CommandLine|startswith": start},
+        "condition": "all of selection_* and not filter_quiet"}, [], []) for i, product, image, parts, start in rule_grid()]
