@@ -56,12 +56,12 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     })
 
 
-def raw_events(lines: DataFrame) -> DataFrame:
+def raw_events(lines: DataFrame, keep: dict[str, Column] | None = None) -> DataFrame:
     """Lines that are no audit records become raw log events."""
     rest = lines.where(~is_audit_line(F.col("value")) & (F.trim("value") != ""))
     return build_events(rest, {
         "@timestamp": iso(F.current_timestamp()), "message": F.trim("value"), "event.category": F.lit("raw_log"), "event.dataset": F.lit("unknown"),
-    }, {"log_file": F.col("file"), "line_no": F.col("line_no")})
+    }, {"log_file": F.col("file"), "line_no": F.col("line_no"), **(keep or {})})
 
 
 def group_records(parsed: DataFrame, mode: str = "by_id", block: int | None = None) -> DataFrame:
