@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberwatch.functions.columns import basename, col, contains_any, filled, spread
+from emberwatch.functions.ordered import with_running_sum
 from emberwatch.session import cut_lineage
 
 # Directories whose files match by name anywhere.
@@ -63,6 +65,11 @@ def slim(df: DataFrame) -> DataFrame:
         anchor_keys().alias("looks_for"), event_keys().alias("found_by"))
 
 
+def _reason() -> Column:
+    kind = F.col("kind")
+    return F.when(kind.isin("name", "path", "file_name", "both"), "file").when(kind == "ppid", "child").when(kind == "pid", "parent").otherwise("source_ip")
+
+
 def related(anchors: DataFrame, events: DataFrame, window: int = WINDOW_SECONDS,
             carry: tuple[str, ...] = ()) -> DataFrame:
     """Pairs (anchor, event) on one host within ``window`` seconds that share a key.
@@ -82,9 +89,7 @@ def related(anchors: DataFrame, events: DataFrame, window: int = WINDOW_SECONDS,
         "seq", "ts", "event_id", "host", "k.kind", "k.value", "slot", *carry)
     pairs = e.join(a, ["host", "kind", "value", "slot"])
     near = F.abs(F.unix_micros("ts") - F.unix_micros("anchor_ts")) <= size
-    reason = F.when(F.col("kind").isin("name", "path", "file_name"), "file").when(F.col("kind") == "ppid", "child").when(
-        F.col("kind") == "pid", "parent").otherwise("source_ip")
-    return pairs.where(near).select("anchor_seq", "seq", "ts", "event_id", reason.alias("reason"), "host", *carry).dropDuplicates(
+    return pairs.where(near).select("anchor_seq", "seq", "ts", "event_id", _reason().alias("reason"), "host", *carry).dropDuplicates(
         ["anchor_seq", "seq", "reason"])
 
 
@@ -92,18 +97,57 @@ def related_counts(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("anchor_seq", "reason").agg(F.count(F.lit(1)).alias("events"))
 
 
+def _value(keys: str, kind: str) -> Column:
+    return F.get(F.filter(keys, lambda k: k["kind"] == kind), F.lit(0))["value"]
+
+
+def _with_both(keys: str) -> Column:
+    """The keys and, where a path and a file name are among them, the pair of both as a key of its own."""
+    both = F.concat(_value(keys, "path"), F.lit("\0"), _value(keys, "file_name"))
+    pair = F.when(both.isNotNull(), F.struct(F.lit("both").alias("kind"), both.alias("value")))
+    return F.concat(F.col(keys), F.array_compact(F.array(pair)))
+
+
+def count_related(anchors: DataFrame, events: DataFrame, window: int = WINDOW_SECONDS, chunk: int | None = None) -> DataFrame:
+    """How many events each anchor is related to, by reason, without building a pair.
+
+    Per (host, kind, value) the events are counted in time order; an anchor reads the
+    running count at both edges of its window. The count runs per slice of time and only
+    the slices' totals are carried along a key, so a key that holds most events is counted
+    by many tasks. An event that shares an anchor's path and its file name is one related
+    event: those who share both are counted as a key of their own and taken off once.
+    Both frames come from :func:`slim`; anchors without related events have no row.
+    """
+    reach = window * 1_000_000
+    us = F.unix_micros("ts")
+    none = F.lit(None).cast(anchors.schema["seq"].dataType)
+    at = spread(events, ["host", us.alias("t")], _with_both("found_by"), "k").groupBy("host", "k.kind", "k.value", "t").agg(F.count(F.lit(1)).alias("add"))
+    at = at.select("host", "kind", "value", "t", F.lit(1).alias("o"), "add", none.alias("anchor_seq"))
+    # in front of the events at the lower edge, behind those at the upper one
+    edges = F.array(F.struct((us - reach).alias("t"), F.lit(0).alias("o")), F.struct((us + reach).alias("t"), F.lit(2).alias("o")))
+    probes = spread(anchors, ["host", F.col("seq").alias("anchor_seq"), edges.alias("edges")], _with_both("looks_for"), "k")
+    probes = probes.select("host", "k.kind", "k.value", F.explode("edges").alias("e"), "anchor_seq").select(
+        "host", "kind", "value", "e.t", "e.o", F.lit(0).cast("long").alias("add"), "anchor_seq")
+    keys = ["host", "kind", "value"]
+    line = at.unionByName(probes).withColumn("slice", F.floor(F.col("t") / F.lit((chunk or max(3600, 4 * window)) * 1_000_000)).cast("long"))
+    line = with_running_sum(line, keys, "slice", ["t", "o"], F.col("add"), "n").where(F.col("o") != 1)
+    sign = F.when(F.col("o") == 2, 1).otherwise(-1) * F.when(F.col("kind") == "both", -1).otherwise(1)
+    counts = line.groupBy("anchor_seq", _reason().alias("reason")).agg(F.sum(sign * F.col("n")).cast("long").alias("events"))
+    return counts.where(F.col("events") > 0)
+
+
 def expand(seed: DataFrame, events: DataFrame, window: int = WINDOW_SECONDS, max_depth: int | None = None) -> DataFrame:
     """Events reachable from the seed over related events, with the depth they were found at.
 
-    Runs until no hop finds anything new, or for ``max_depth`` hops. One join per hop for the whole frontier. A hop reads only the events within
-    ``window`` of the frontier's time span (a filter that reaches the scan) and
-    takes the next frontier from the join itself. Every hop is checkpointed in
-    the shared checkpoint folder, so the lineage stays one hop long and a lost
-    executor costs at most that hop. Neighbours without an id are skipped. Both
-    frames come from :func:`slim`.
+    Runs until no hop finds anything new, or for ``max_depth`` hops. One join per hop for the
+    whole frontier. A hop reads only the events within ``window`` of the frontier's time
+    span (a filter that reaches the scan) and takes the next frontier from the join itself.
+    Each hop's frontier is checkpointed in the shared checkpoint folder and is the only thing
+    a hop writes: what was visited is the log of all frontiers. A lost executor costs at most
+    one hop. Neighbours without an id are skipped. Both frames come from :func:`slim`.
     """
-    visited = cut_lineage(seed.select("seq", "event_id", F.lit(0).alias("depth")))
     frontier = cut_lineage(seed)
+    log = [frontier.select("seq", "event_id", F.lit(0).alias("depth"))]
     reach = window * 1_000_000
     for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         span = frontier.agg(F.min(F.unix_micros("ts")).alias("lo"), F.max(F.unix_micros("ts")).alias("hi")).first()
@@ -112,8 +156,9 @@ def expand(seed: DataFrame, events: DataFrame, window: int = WINDOW_SECONDS, max
         near = events.where(F.col("ts").between(F.timestamp_micros(F.lit(span.lo - reach)), F.timestamp_micros(F.lit(span.hi + reach))))
         found = related(frontier, near, window, carry=("looks_for", "found_by")).where(F.col("event_id").isNotNull())
         found = found.select("seq", "ts", "event_id", "host", "looks_for", "found_by").dropDuplicates(["seq"])
-        frontier = cut_lineage(found.join(visited.select("event_id"), "event_id", "left_anti"))
+        visited = reduce(DataFrame.unionByName, log).select("event_id")
+        frontier = cut_lineage(found.join(visited, "event_id", "left_anti"))
         if frontier.isEmpty():
             break
-        visited = cut_lineage(visited.unionByName(frontier.select("seq", "event_id", F.lit(depth).alias("depth"))))
-    return visited
+        log.append(frontier.select("seq", "event_id", F.lit(depth).alias("depth")))
+    return reduce(DataFrame.unionByName, log)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emberwatch.session import cut_lineage
+
 from emberwatch.sources.stix import alive, is_type
 
 # Named relationship mappings: (source type, relationship, target type).
@@ -143,6 +145,29 @@ def techniques_by_software(objects: DataFrame, relationships: DataFrame) -> Data
     return first.join(second, "software").select("group_ref", "technique_ref").distinct().join(live, "technique_ref")
 
 
+def technique_counts_by_software(objects: DataFrame, relationships: DataFrame) -> DataFrame:
+    """Group → number of techniques it reaches through software: ``group_ref, techniques``.
+
+    The techniques of a software are bits of a bitmap, and a group's set is the OR of the
+    bitmaps of its software, which combines before the shuffle. No pair of group and
+    technique is built, however many groups and techniques a popular software joins.
+    Techniques are numbered within their partitions, so a bitmap covers one partition's.
+    """
+    rel = relationships.where((F.col("relationship_type") == "uses") & ~F.col("revoked"))
+    is_soft = lambda c: F.col(c).isin("malware", "tool")
+    # the numbers must not change between the passes below
+    numbered = cut_lineage(objects.where(is_type("attack-pattern")).select(F.col("id").alias("technique_ref")).distinct().withColumn("n", F.monotonically_increasing_id()))
+    second = rel.where(is_soft("source_type") & (F.col("target_type") == "attack-pattern")).select(
+        F.col("source_ref").alias("software"), F.col("target_ref").alias("technique_ref"))
+    number = F.col("n") + 1
+    sets = second.join(numbered, "technique_ref").groupBy("software", F.bitmap_bucket_number(number).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("bits"))
+    first = rel.where((F.col("source_type") == "intrusion-set") & is_soft("target_type")).select(
+        F.col("source_ref").alias("group_ref"), F.col("target_ref").alias("software")).distinct()
+    merged = first.join(sets, "software").groupBy("group_ref", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+    return merged.groupBy("group_ref").agg(F.sum(F.bitmap_count("bits")).cast("long").alias("techniques"))
+
+
 def replaced_by(objects: DataFrame, relationships: DataFrame) -> DataFrame:
     """Revoked objects with the live object that replaces them."""
     rel = relationships.where(F.col("relationship_type") == "revoked-by").select(F.col("source_ref").alias("old_id"), F.col("target_ref").alias("id"))

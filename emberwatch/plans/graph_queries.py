@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from emberwatch.functions.columns import col
 from emberwatch.operators import correlate as C
 from emberwatch.operators import graph as G
+from emberwatch.operators import knowledge as K
 from emberwatch.operators import scoring as S
+from emberwatch.plans.case_report import reconstruct
 from emberwatch.plans.registry import query
 from emberwatch.plans.twins import EVENTS, LABELS, SCORES, SEEDS, with_
-from emberwatch.sources.tables import unified_events
+from emberwatch.sources.tables import knowledge_objects, knowledge_relationships, local_indicators, unified_events
 
 _START = "iso_ts"
 PARTS = """
@@ -147,21 +149,41 @@ def related_events(spark, folder):
     f"SELECT a.seq AS anchor_seq, '{r}' AS reason, count(*) AS events FROM ev a JOIN ev e ON {PAIR.format(cond=c)} WHERE a.det_severity = 'critical' GROUP BY a.seq"
     for r, c in REASONS.items()) + ") SELECT reason, count(*) AS anchors, CAST(sum(events) AS BIGINT) AS events FROM rel GROUP BY reason")
 def related_event_counts(spark, folder):
-    """All critical events as anchors: the unbounded form of the join."""
+    """All critical events as anchors, counted without a pair."""
     ev = unified_events(spark, folder)
     anchors = C.slim(ev.where(col("detection.severity") == "critical"))
-    counts = C.related_counts(C.related(anchors, C.slim(ev), HOUR))
+    counts = C.count_related(anchors, C.slim(ev), HOUR)
     return counts.groupBy("reason").agg(F.count(F.lit(1)).alias("anchors"), F.sum("events").cast("bigint").alias("events"))
 
 
-@query("attack_path", "WITH RECURSIVE " + (with_(EVENTS, SCORES, SEEDS) + f""",
+REACH = f"""
 pick AS (SELECT seq FROM seed ORDER BY confidence DESC, ts DESC, seq DESC LIMIT 1),
 rel AS (SELECT DISTINCT a.seq AS a, e.seq AS b FROM ev a JOIN ev e ON {PAIR.format(cond=' OR '.join('(' + c + ')' for c in REASONS.values()))}),
-walk AS (SELECT seq, 0 AS depth FROM pick UNION SELECT b, depth + 1 FROM walk JOIN rel ON rel.a = walk.seq WHERE depth < 10)
-SELECT seq, min(depth) AS depth FROM walk GROUP BY seq""")[len("WITH "):])
+walk(seq, depth) USING KEY (seq) AS (
+  SELECT seq, 0 FROM pick
+  UNION (SELECT b, min(depth) + 1 FROM walk JOIN rel ON rel.a = walk.seq WHERE b NOT IN (SELECT seq FROM recurring.walk) GROUP BY b))
+"""
+
+
+@query("attack_path", "WITH RECURSIVE " + with_(EVENTS, SCORES, SEEDS, REACH)[len("WITH "):] + "SELECT seq, depth FROM walk")
 def attack_path(spark, folder):
-    """To the fixpoint. The SQL stops after ten hops; on sf0.001, sf0.01 and sf0.1 the walk ends after one at most."""
+    """Everything reachable from the best seed, to the fixpoint on both sides."""
     ev = unified_events(spark, folder)
     slim = C.slim(ev)
     seed = C.slim(S.best_seed(S.seeds(ev)))
     return C.expand(seed, slim, HOUR).select("seq", "depth")
+
+
+@query("attack_reconstruction", "WITH RECURSIVE " + with_(EVENTS, SCORES, SEEDS, REACH)[len("WITH "):] + """
+SELECT 'event' AS part, category AS name, count(*) AS n FROM walk JOIN ev USING (seq) GROUP BY category
+UNION ALL SELECT 'technique', technique, count(*) FROM walk JOIN ev USING (seq) WHERE technique IS NOT NULL GROUP BY technique""")
+def attack_reconstruction(spark, folder):
+    """The facade over one seed: its events by category and the techniques they name."""
+    ev = unified_events(spark, folder)
+    groups = K.uses_edges(knowledge_objects(spark, folder), knowledge_relationships(spark, folder)).select("group", "technique_id").distinct()
+    found = reconstruct(S.best_seed(S.seeds(ev)), ev, groups, [local_indicators(spark, folder)], HOUR)
+    n = F.count(F.lit(1))
+    by_category = found["events"].groupBy(col("event.category").alias("name")).agg(n.alias("n")).select(F.lit("event").alias("part"), "name", "n")
+    named = found["events"].where(col("threat.technique.id").isNotNull()).groupBy(col("threat.technique.id").alias("name")).agg(n.alias("n"))
+    listed = found["techniques"].select(F.col("technique_id").alias("name"))
+    return by_category.unionByName(named.join(listed, "name", "left_semi").select(F.lit("technique").alias("part"), "name", "n"))

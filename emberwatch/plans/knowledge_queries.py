@@ -132,7 +132,7 @@ def kb_group_software(spark, folder):
 , pairs AS (SELECT DISTINCT a.sk, b.pk FROM (SELECT DISTINCT sk, ck FROM bought) a JOIN (SELECT DISTINCT ck, pk FROM bought) b USING (ck))
 SELECT 'intrusion-set--' || sk AS group_ref, count(*) AS techniques FROM pairs JOIN tech0 USING (pk) GROUP BY sk""")
 def kb_techniques_by_software(spark, folder):
-    return K.techniques_by_software(*_kb(spark, folder)).groupBy("group_ref").agg(F.count(F.lit(1)).alias("techniques"))
+    return K.technique_counts_by_software(*_kb(spark, folder))
 
 
 @query("kb_replaced", KB + """

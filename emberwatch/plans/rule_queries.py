@@ -13,6 +13,7 @@ from emberwatch.operators.fields import with_logsource
 from emberwatch.plans.registry import query
 from emberwatch.plans.twins import EVENTS, with_
 from emberwatch.sources.rules import load_rules
+from emberwatch.sources.samples import grid_rules, rule_grid
 from emberwatch.sources.tables import unified_events
 
 STARTER = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "rules")
@@ -147,6 +148,20 @@ def rule_hit_counts(spark, folder):
         F.count(F.lit(1)).alias("events"), F.count_distinct(col("host.name")).alias("hosts"))
 
 
+_GRID = "grid(rule_id, product, tail, p1, p2, quiet) AS (VALUES " + ", ".join(
+    f"({_sq(i)}, {_sq(product)}, {_sq(image)}, {_sq(parts[0])}, {_sq(parts[-1])}, {_sq(start)})" for i, product, image, parts, start in rule_grid()) + ")"
+
+
+@query("large_rule_set_hits", with_(EVENTS, LOGSOURCE, _GRID) + """
+SELECT rule_id, count(*) AS events, count(DISTINCT host) AS hosts FROM ls JOIN grid g
+ ON ls.product = g.product AND kind = 'process_creation' AND ends_with(img, tail) AND contains(c, lower(p1)) AND contains(c, lower(p2)) AND NOT starts_with(c, quiet)
+GROUP BY rule_id""")
+def large_rule_set_hits(spark, folder):
+    """3,600 rules over all events, through the literal automaton."""
+    hits = X.detect(unified_events(spark, folder), grid_rules(), keep=["seq", "host"])
+    return hits.groupBy("rule_id").agg(F.count(F.lit(1)).alias("events"), F.count_distinct(col("host.name")).alias("hosts"))
+
+
 @query("rule_matched_fields", H + """
 SELECT rule_id, field, value, count(*) AS events FROM (
   SELECT rule_id, 'Image' AS field, COALESCE(exe, proc) AS value FROM hits WHERE rule_id IN ('ew-ps-encoded', 'ew-certutil-download')

@@ -138,3 +138,41 @@ def test_attack_path_goes_to_the_end_of_a_long_chain(events, spark, monkeypatch)
         depth.update({j: d for j in frontier})
     assert max(depth.values()) == 14
     assert {r.seq: r.depth for r in Q.attack_path(spark, "").collect()} == depth
+
+
+def test_counts_without_pairs_equal_the_pairs(events):
+    docs = _random_events(120, 11) + _random_events(40, 12)
+    for i, d in enumerate(docs):
+        d["event"]["id"] = f"e{i}"
+    docs[5]["file"] = {"path": "/srv/abcd", "name": "other"}
+    docs[6]["file"] = {"path": "/srv/abcd"}
+    slim = C.slim(events(*docs))
+    want = {(r.anchor_seq, r.reason): r.events for r in C.related_counts(C.related(slim, slim, 30)).collect()}
+    for chunk in (7, 3600):  # slices shorter and longer than the window
+        assert {(r.anchor_seq, r.reason): r.events for r in C.count_related(slim, slim, 30, chunk).collect()} == want
+    plan = C.count_related(slim, slim, 30)._jdf.queryExecution().optimizedPlan().toString()
+    assert "anchor_ts" not in plan and len({k for _, k in want}) == 4
+    assert C.count_related(slim.limit(0), slim, 30).count() == 0 and C.count_related(slim, slim.limit(0), 30).count() == 0
+
+
+def test_expansion_of_fifty_hops(events):
+    docs = [{"@timestamp": at(20 * i), "event": {"id": f"e{i}", "category": "process"}, "host": {"name": "h"},
+             "process": {"pid": 100 + i, "parent": {"pid": 99 + i}}} for i in range(51)]
+    slim = C.slim(events(*docs)).coalesce(1)
+    got = {r.seq: r.depth for r in C.expand(slim.where(F.col("seq") == 0), slim, 30).collect()}
+    assert got == {i: i for i in range(51)}
+
+
+def test_technique_sets_equal_the_pairs(spark):
+    import random
+
+    from emberwatch.operators import knowledge as K
+
+    rnd = random.Random(4)
+    objects = spark.createDataFrame([(f"t{i}", "attack-pattern", f"T{i}") for i in range(90)], "id string, type string, attack_id string").repartition(5)
+    rel = [("intrusion-set", f"g{rnd.randrange(6)}", "tool", f"s{rnd.randrange(20)}") for _ in range(60)]
+    rel += [("tool", f"s{rnd.randrange(20)}", "attack-pattern", f"t{rnd.randrange(100)}") for _ in range(200)]
+    links = spark.createDataFrame([(a, b, "uses", c, d, i % 17 == 0) for i, (a, b, c, d) in enumerate(rel)],
+                                  "source_type string, source_ref string, relationship_type string, target_type string, target_ref string, revoked boolean")
+    want = {r.group_ref: r["count"] for r in K.techniques_by_software(objects, links).groupBy("group_ref").count().collect()}
+    assert {r.group_ref: r.techniques for r in K.technique_counts_by_software(objects, links).collect()} == want and want
