@@ -13,7 +13,8 @@ import ipaddress
 import json
 import re
 from collections import defaultdict
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,6 +55,56 @@ def collect_rules(rules: DataFrame) -> list[Rule]:
                  json.loads(r.detection_json), list(r.tactics), list(r.techniques)) for r in rows]
 
 
+# --------------------------------------------------------------------------- placeholders
+
+MAX_PLACEHOLDER_VALUES = 100_000
+_PLACEHOLDER = re.compile(r"%(\w+)%")
+
+
+def collect_placeholders(values: DataFrame) -> dict[str, list[str]]:
+    """A table of ``name, value`` as lists by name; refuses more than ``MAX_PLACEHOLDER_VALUES`` values. Null names and values say nothing."""
+    rows = values.where("name is not null and value is not null").select("name", "value").distinct().orderBy("name", "value").limit(MAX_PLACEHOLDER_VALUES + 1).collect()
+    if len(rows) > MAX_PLACEHOLDER_VALUES:
+        raise ValueError(f"more than {MAX_PLACEHOLDER_VALUES} placeholder values")
+    out = defaultdict(list)
+    for r in rows:
+        out[r.name].append(r.value)
+    return dict(out)
+
+
+def _filled_in(text: str, values: dict[str, list[str]]) -> list[str]:
+    """A text once for every combination of values of the placeholders in it; a name without values leaves nothing."""
+    names = list(dict.fromkeys(_PLACEHOLDER.findall(text)))
+    return [_PLACEHOLDER.sub(lambda m: chosen[m[1]], text)
+            for chosen in (dict(zip(names, c)) for c in product(*[values.get(n, []) for n in names]))]
+
+
+def with_placeholders(rules: list[Rule], values: dict[str, list[str]]) -> list[Rule]:
+    """Rules whose ``expand`` fields hold the values of their placeholders.
+
+    A field that is left without any value keeps its modifier, and strict compilation
+    skips the rule with that reason.
+    """
+
+    def fill(block):
+        if isinstance(block, list):
+            return [fill(b) for b in block]
+        if not isinstance(block, dict):
+            return block
+        out = {}
+        for spec, pattern in block.items():
+            mods = spec.split("|")
+            if "expand" in mods[1:]:
+                listed = pattern if isinstance(pattern, list) else [pattern]
+                found = [v for p in listed for v in (_filled_in(p, values) if isinstance(p, str) else [p])]
+                if found:
+                    spec, pattern = "|".join(m for m in mods if m != "expand"), found
+            out[spec] = pattern
+        return out
+
+    return [replace(r, detection={n: b if n == "condition" else fill(b) for n, b in r.detection.items()}) for r in rules]
+
+
 # --------------------------------------------------------------------------- values
 
 
@@ -198,6 +249,8 @@ def _and(preds: list[str]) -> Pred:
 
 def _field_predicate(resolve, spec: str, pattern, strict: bool) -> Pred:
     name, *mods = spec.split("|")
+    if strict and "expand" in mods:
+        raise ValueError(f"no values for the placeholders of {name}")
     if strict and "fieldref" in mods:
         a, b = resolve(name), resolve(str(pattern))
         if a is None or b is None:

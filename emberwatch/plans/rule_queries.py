@@ -18,11 +18,14 @@ from emberwatch.sources.tables import unified_events
 
 STARTER = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "rules")
 _CACHE: dict = {}
+# The placeholder table of the starter rules.
+PLACEHOLDERS = {"service_accounts": ["root", "www-data"], "drop_types": ["bin", "jsp"], "office_types": ["docx"]}
 
 
 def starter_rules(spark):
     if "rules" not in _CACHE:
-        _CACHE["rules"] = X.collect_rules(load_rules(spark, STARTER))
+        values = X.collect_placeholders(spark.createDataFrame([(n, v) for n, vs in PLACEHOLDERS.items() for v in vs], "name string, value string"))
+        _CACHE["rules"] = X.with_placeholders(X.collect_rules(load_rules(spark, STARTER)), values)
     return _CACHE["rules"]
 
 
@@ -87,6 +90,8 @@ _RULES = [
      "product = 'windows' AND kind = 'authentication' AND user_name IN ('root', 'www-data') AND outcome = 'failure'"),
     ("ew-zeek-subnet", "Uncommon Protocol From A Known Subnet", "low", ["T1046"], [("TA0007", "Discovery")],
      "product = 'zeek' AND (src_ip LIKE '10.0.1.%' OR src_ip LIKE '10.0.3.%') AND proto NOT IN ('dns', 'http', 'https')"),
+    ("ew-expand-accounts", "File Touched By A Service Account", "low", ["T1078"], [("TA0003", "Persistence")],
+     "product = 'windows' AND kind = 'file_event' AND user_name IN ('root', 'www-data') AND regexp_matches(lower(path), '[.](bin|jsp|docx)$')"),
 ]
 
 

@@ -155,11 +155,14 @@ def test_counts_without_pairs_equal_the_pairs(events):
     assert C.count_related(slim.limit(0), slim, 30).count() == 0 and C.count_related(slim, slim.limit(0), 30).count() == 0
 
 
-def test_expansion_of_fifty_hops(events):
+def test_expansion_of_fifty_hops(spark, events):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
     docs = [{"@timestamp": at(20 * i), "event": {"id": f"e{i}", "category": "process"}, "host": {"name": "h"},
              "process": {"pid": 100 + i, "parent": {"pid": 99 + i}}} for i in range(51)]
     slim = C.slim(events(*docs)).coalesce(1)
     got = {r.seq: r.depth for r in C.expand(slim.where(F.col("seq") == 0), slim, 30).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", before)
     assert got == {i: i for i in range(51)}
 
 

@@ -5,7 +5,7 @@ import os
 
 from emberwatch.operators import detect as X
 from emberwatch.operators import tagging as T
-from emberwatch.plans.rule_queries import STARTER
+from emberwatch.plans.rule_queries import PLACEHOLDERS, STARTER
 from emberwatch.sources.rules import auditd_rules, load_rules, rule_stats, select_rules, zeek_rules
 
 T0 = "2026-01-15T11:12:45Z"
@@ -133,7 +133,7 @@ def test_loader(spark, tmp_path):
 
 
 def test_starter_rules_compile(spark):
-    rules = X.collect_rules(load_rules(spark, STARTER))
+    rules = X.with_placeholders(X.collect_rules(load_rules(spark, STARTER)), PLACEHOLDERS)
     assert len(rules) == len([f for f in os.listdir(STARTER) if f.endswith(".yml")]) - 1
     _, skipped = X.compile_rules(rules, True, X.Fields(True))
     assert not skipped
@@ -152,3 +152,33 @@ def test_upstream_detection_passes_through(events):
     doc = proc("nothing", threat={"technique": {"id": "T1078"}})
     row = T.analyze(events(doc), [rule("r", {"s": {"CommandLine": "q"}, "condition": "s"})]).first()
     assert row.detected and row.matched_rules == ["Upstream Detection: T1078"] and row.primary.confidence == 0.8
+
+
+def test_placeholders(spark, events):
+    table = spark.createDataFrame([("admins", "Root"), ("admins", "adm*"), ("tools", "nc"), ("tools", "ncat"), ("hosts", "h1"), (None, "x"), ("nothing", None), ("admins", "Root")],
+                                  "name string, value string")
+    values = X.collect_placeholders(table)
+    assert values == {"admins": ["Root", "adm*"], "tools": ["nc", "ncat"], "hosts": ["h1"]}
+    cases = {
+        "plain": ({"User|expand": "%admins%"}, {"root", "admin7"}),
+        "list": ({"User|expand": ["%admins%", "eve"]}, {"root", "admin7", "eve"}),
+        "inside": ({"CommandLine|contains|expand": "run %tools% on %hosts%"}, {"root", "eve"}),
+        "every": ({"CommandLine|contains|all|expand": ["%tools%", "%hosts%"]}, {"eve"}),
+        "cased": ({"User|cased|expand": "%admins%"}, set()),
+        "unknown": ({"User|expand": "%nobody%"}, None),
+        "partly": ({"User|expand": ["%nobody%", "eve"]}, {"eve"}),
+        "literal": ({"User|expand": "eve"}, {"eve"}),
+        "nested": ([{"User|expand": "%admins%"}, {"User": "eve"}], {"root", "admin7", "eve"}),
+    }
+    rules = [rule(n, {"s": s, "condition": "s"}) for n, (s, _) in cases.items()]
+    filled = X.with_placeholders(rules, values)
+    assert rules[0].detection["s"] == {"User|expand": "%admins%"}  # the rules given stay as they are
+    lines = {"root": "run nc on h1", "admin7": "run nc", "eve": "run ncat on h1", "bob": "x"}
+    docs = [proc(c, process={"command_line": c, "executable": "/usr/bin/x", "user": {"name": u}}) for u, c in lines.items()]
+    got = {}
+    for r in X.detect(events(*docs), filled).collect():
+        got.setdefault(r.rule_id, set()).add(r.process.user.name)
+    assert got == {n: want for n, (_, want) in cases.items() if want}
+    skipped = {r.rule_id: r.reason for r in X.skipped_rules(spark, filled).collect()}
+    assert set(skipped) == {"unknown"} and "User" in skipped["unknown"]
+    assert {r.rule_id for r in X.skipped_rules(spark, rules).collect()} == set(cases)
