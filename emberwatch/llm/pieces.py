@@ -22,6 +22,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +31,9 @@ from emberwatch.llm.columns import packed, unpacked
 
 SPACE = "▁"
 #: Entries kept per worker: encoded chunks, pairs of pieces, beginnings.
-_MEMO, _PAIRS, _LOOK = 3 << 17, 1 << 18, 1 << 18
+_MEMO, _PAIRS, _LOOK = 3 << 17, 1 << 18, 1 << 17
+#: Bytes of text per output batch of a worker.
+_SLICE = 4 << 20
 _LONGEST_MEMO = 48
 #: pieces that begin at a position are remembered by so many characters
 AHEAD = 5
@@ -227,16 +231,47 @@ class Pieces:
         return (raw[1:] if self.prefix_space and raw[:1] == b" " else raw).decode("utf-8", "surrogatepass")
 
 
-def encode(docs: DataFrame, model_file: str, text: str = "text") -> DataFrame:
-    """Adds ``ids``. The model file is read by the driver and its pieces are broadcast (a vocabulary is bounded)."""
+def slices(texts: pa.Array, size: int = _SLICE) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``size`` bytes of text."""
+    start, held = 0, 0
+    for k, n in enumerate(pc.binary_length(texts).to_pylist()):
+        held += n or 0
+        if held >= size:
+            yield start, k + 1
+            start, held = k + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
+
+
+def encode(docs: DataFrame, model_file: str, text: str = "text", decoded: str | None = None) -> DataFrame:
+    """Adds ``ids``, and where ``decoded`` names a column, the text decoded from those ids.
+
+    The model file is read by the driver and its pieces are broadcast (a vocabulary is
+    bounded). Null and empty texts have no ids and decode to the empty text. Rows are
+    independent: repeated rows stay repeated, an empty table gives an empty table. Result
+    columns win over input columns of the same name.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(Pieces.load(model_file))
 
-    @F.pandas_udf("array<int>")
-    def encoded(texts: pd.Series) -> pd.Series:
-        return pd.Series([shared.value.encode(t) for t in texts], dtype=object)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = shared.value
+        for batch in batches:
+            texts = batch.column("t")
+            for a, b in slices(texts):
+                part = texts.slice(a, b - a)
+                ids = [pieces.encode(t) for t in part.to_pylist()]
+                ends = pa.array(np.cumsum([0, *map(len, ids)]).astype(np.int32))
+                columns = [batch.column("row").slice(a, b - a), part, pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids), pa.int32()))]
+                if decoded:
+                    columns.append(pa.array([pieces.decode(x.tolist()) for x in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, ["row", "t", "ids", "decoded"][:len(columns)])
 
-    src = docs.select(packed(docs, text), F.col(f"`{text}`").alias(text), encoded(F.col(f"`{text}`").cast("string")).alias("ids"))
-    return unpacked(src, [text, "ids"])
+    src = docs.select(packed(docs, text), F.col(f"`{text}`").cast("string").alias("t"))
+    schema = f"row {src.schema['row'].dataType.simpleString()}, t string, ids array<int>" + (", decoded string" if decoded else "")
+    out = src.mapInArrow(run, schema).withColumnRenamed("t", text)
+    if not decoded:
+        return unpacked(out, [text, "ids"])
+    return unpacked(out.withColumnRenamed("decoded", decoded), [text, "ids", decoded])
 
 
 def decode(encoded: DataFrame, model_file: str, ids: str = "ids") -> DataFrame:

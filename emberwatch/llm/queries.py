@@ -54,8 +54,7 @@ def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 def op5_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of every text, and whether decoding them gives the text back."""
-    ids = pieces.encode(load(spark, folder, "documents").select("doc_id", "text"), model_file())
-    out = pieces.decode(ids, model_file())
+    out = pieces.encode(load(spark, folder, "documents").select("doc_id", "text"), model_file(), decoded="decoded")
     same = F.col("decoded") == F.coalesce("text", F.lit(""))
     return out.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", same.alias("round_trip"))
 
