@@ -58,7 +58,9 @@ def directions(dim: int) -> np.ndarray:
 
 
 def _unit(vectors) -> np.ndarray:
+    """Vectors of length one. Each is brought near one by a power of two first, which rounds nothing, so that no norm overflows or vanishes."""
     x = np.array(list(vectors), np.float64)
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 

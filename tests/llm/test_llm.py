@@ -265,7 +265,8 @@ def test_pieces_equal_the_model_and_come_back(docs, texts, empty):
     more = ["".join(rnd.choice("abcdethe inongs=-*# .,/é\n🙂") for _ in range(rnd.randint(1, 80))) for _ in range(300)]
     for t in [t for t in texts if t and pieces.SPACE not in t] + more + [" " * 99, "representation" * 50, "x" * 5000]:
         assert own.encode(t).tolist() == sp.encode(t)
-    out = pieces.decode(pieces.encode(docs, queries.model_file()), queries.model_file())
+    out = pieces.decode(pieces.encode(docs, queries.model_file(), decoded="n_words"), queries.model_file())
+    assert out.where(F.col("n_words") != F.col("decoded")).count() == 0
     assert out.where(F.col("decoded") != F.coalesce("text", F.lit(""))).count() == 0 and out.count() == docs.count()
     assert pieces.encode(empty, queries.model_file()).count() == 0
 
@@ -365,6 +366,13 @@ def test_embeddings(spark, cell, tile, monkeypatch):
     assert embedding_dedup.near_vectors(frame.where("false")).count() == 0
 
 
+def test_embeddings_of_any_magnitude(spark):
+    vectors = [[1e200, 1.0000001e200], [1e-200, 1e-200], [1.0, 1.0], [5e-324, 5e-324], [1.7e308, 1.7e308], [-1e200, -1e200], [1e200, -1e-200]]
+    frame = spark.createDataFrame([(i, v, 1) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_vectors(frame).collect()}
+    assert got == {**{i: (4, 0) for i in range(5)}, 5: (0, 5), 6: (0, 6)}
+
+
 def auc(scores):
     good, bad = [s for s, y in scores if y], [s for s, y in scores if not y]
     return np.mean([(a > b) + 0.5 * (a == b) for a in good for b in bad])
@@ -391,6 +399,18 @@ def test_classifiers_on_odd_rows(spark, docs, empty):
     assert found[0] > 0.9 and [(a, b) for a, b, _ in found[1]] == [(9, 19)]
 
 
+def test_pipeline_keeps_texts_that_share_an_id(spark):
+    import corpus_pipeline
+
+    rnd = random.Random(5)
+    a, b = prose(rnd, 60), prose(rnd, 60)
+    rows = [(1, a, "en"), (1, b, "en"), (2, a, "en"), (3, b, "en"), (4, None, "en"), (5, "", "en"), (1, a, "en"), (None, a, "en"), (None, a, "en"), (6, prose(rnd, 60), "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __h1 string")
+    got = corpus_pipeline.near_duplicates(spark, docs.drop("__h1").withColumn("lang", F.lit("x")), "").collect()
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in got))) == sorted(map(repr, [(1, a), (1, b), (4, None), (6, rows[-1][1]), (None, a), (None, a)]))
+    assert corpus_pipeline.near_duplicates(spark, docs.drop("__h1").limit(0), "").count() == 0
+
+
 @pytest.mark.skipif(not os.path.exists(SF), reason="needs the driver's tables")
 def test_pipeline_stages(spark):
     import corpus_pipeline
