@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from emberwatch.llm import decontaminate, line_dedup, pieces, simhash
 from emberwatch.llm import toxicity as toxic
-from emberwatch.llm.columns import remainder
+from emberwatch.llm.columns import digest, remainder
 from emberwatch.llm.queries import load, model_file
 from emberwatch.session import cut_lineage
 
@@ -31,11 +31,18 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near duplicates; rows without an id can't be told apart and stay."""
-    found = simhash.near_duplicates(docs.select("doc_id", "text"))
-    first = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull())).select(docs.columns)
+    """One document of each group of near duplicates: that of the smallest id, of equal ids the one of the smallest row hash.
+
+    Documents that share an id but no group are all kept, as are all without an id, which
+    can't be told apart.
+    """
+    row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
+    key = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", *[h.alias(n) for h, n in zip(digest(row), ("h1", "h2"))]))
+    keyed = docs.withColumn("__key", key)
+    found = simhash.near_duplicates(keyed.select("__key", "text"), doc_id="__key")
+    first = found.where(F.col("__key") == F.col("component_id")).select("__key").distinct()
+    kept = keyed.join(first, "__key", "left_semi").dropDuplicates(["__key"])
+    return kept.unionByName(keyed.where(F.col("__key").isNull())).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +52,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text, and whether decoding gives the text back."""
-    out = pieces.decode(pieces.encode(docs.select("doc_id", "text"), model_file()), model_file())
+    out = pieces.encode(docs.select("doc_id", "text"), model_file(), decoded="decoded")
     same = F.col("decoded") == F.coalesce("text", F.lit(""))
     return out.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", same.alias("round_trip"))
 
