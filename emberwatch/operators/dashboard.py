@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberwatch.functions.columns import col, filled, text, truth
+from emberwatch.functions.columns import col, filled, is_json_object, text, truth
 
 # Display weights of the threat ranking.
 RANK_WEIGHTS = {"high": 1.0, "medium": 0.6, "low": 0.3}
@@ -92,9 +92,17 @@ def _values(dtype: T.DataType, c: Column) -> Column:
     return c.cast("string")
 
 
+def _record_values(raw: Column) -> Column:
+    """Values of a JSON record without the names of its keys and without escapes; other text as it is."""
+    string = r'"(?:[^"\\]|\\.)*"'
+    values = F.regexp_replace(raw, rf"({string}\s*:)|({string})", "$2")
+    return F.when(is_json_object(raw), F.regexp_replace(values, r'\\(["\\/])', "$1")).otherwise(raw)
+
+
 def search(df: DataFrame, query: str, fields: list[str] | None = None) -> DataFrame:
     """Rows where any word of the query occurs in the value of any field (whole text, case-insensitive; names of fields don't count)."""
-    values = [_values(df.schema[f].dataType, F.col(f"`{f}`")) for f in fields or df.columns]
+    values = [_record_values(F.col("raw")) if f == "raw" and df.schema[f].dataType == T.StringType() else _values(df.schema[f].dataType, F.col(f"`{f}`"))
+              for f in fields or df.columns]
     body = F.lower(F.concat_ws("\n", *values))
     hit = F.lit(False)
     for word in query.lower().split():
@@ -141,6 +149,11 @@ def with_threat_info(df: DataFrame, present: bool = True) -> DataFrame:
     return df.where(has if present else ~has)
 
 
+def threat_presence(df: DataFrame) -> DataFrame:
+    """Events with and without threat information, in one pass."""
+    return df.groupBy(filled(col("threat.technique.id")).isNotNull().alias("has_threat")).agg(F.count(F.lit(1)).alias("events"))
+
+
 def display_row(df: DataFrame) -> DataFrame:
     """Projection shown in tables: '-' for anything missing, time in UTC+8."""
     dash = lambda c: F.coalesce(filled(c), F.lit("-"))

@@ -292,10 +292,7 @@ def destination_quality(spark, folder):
 @query("threat_presence", EV + """
 SELECT technique IS NOT NULL AS has_threat, count(*) AS events FROM ev GROUP BY 1""")
 def threat_presence(spark, folder):
-    ev = unified_events(spark, folder)
-    yes = D.with_threat_info(ev).select(F.lit(True).alias("has_threat"))
-    no = D.with_threat_info(ev, present=False).select(F.lit(False).alias("has_threat"))
-    return yes.union(no).groupBy("has_threat").agg(F.count(F.lit(1)).alias("events"))
+    return D.threat_presence(unified_events(spark, folder))
 
 
 @query("display_rows", EV + """
