@@ -31,7 +31,7 @@ from emberwatch.llm.columns import packed, unpacked
 
 SPACE = "▁"
 #: Entries kept per worker: encoded chunks, pairs of pieces, beginnings.
-_MEMO, _PAIRS, _LOOK = 3 << 17, 1 << 18, 1 << 17
+_MEMO, _PAIRS, _LOOK = 3 << 18, 1 << 19, 1 << 18
 #: Bytes of text per output batch of a worker.
 _SLICE = 4 << 20
 _LONGEST_MEMO = 48
@@ -128,6 +128,9 @@ class Pieces:
     def stream(self, text: str) -> Iterator[int]:
         """Piece numbers of ``text``, each committed as soon as no later character can change it."""
         base, size, longest, bpe = 0, len(text), self.longest, self.kind == "bpe"  # everything before base is committed
+        if bpe and size <= 2 * longest:
+            yield from self._whole(text)
+            return
         width = min(size, 3 * longest + 1) + 1
         starts, lasts, best = [-1] * width, [-1] * width, [0.0] * width  # states of the positions from base on; -1: not reached
         starts[0] = 0
@@ -189,6 +192,43 @@ class Pieces:
                     best += [0.0] * longest
         yield from self._path(starts, lasts, base, size)
 
+    def _whole(self, text: str) -> list[int]:
+        """``stream`` for merges where the text fits the window, so that nothing is committed before its end."""
+        size, table, look, apart = len(text), self.table, self.look, self.apart
+        starts, lasts = [-1] * (size + 1), [-1] * (size + 1)
+        starts[0] = 0
+        for k in range(size):
+            if starts[k] < 0:
+                continue
+            ahead = text[k:k + AHEAD]
+            got = look.get(ahead)
+            if got is None:
+                if len(look) >= _LOOK:
+                    look.clear()
+                got = look[ahead] = self.beginning(ahead)
+            options, more = got
+            if more:
+                for n in range(AHEAD + 1, size - k + 1):
+                    piece = text[k:k + n]
+                    s = table.get(piece)
+                    if s is None:
+                        break
+                    if s is not False:
+                        options += ((n, self.ids[piece], s),)
+            left = lasts[k]
+            behind = left << 22
+            for n, piece, _ in options:
+                j = k + n
+                if starts[j] < 0:
+                    if k:
+                        ok = apart.get(behind | piece)
+                        if ok is None:
+                            ok = self.fits(left, piece)
+                        if not ok:
+                            continue
+                    starts[j], lasts[j] = k, piece
+        return self._path(starts, lasts, 0, size)
+
     @staticmethod
     def _path(starts: list[int], lasts: list[int], base: int, end: int) -> list[int]:
         out = []
