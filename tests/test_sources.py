@@ -260,6 +260,28 @@ def test_sequence_similarity_equals_difflib(spark):
     assert got == {k: v for k, v in want.items() if v > 0}
 
 
+def test_sequence_similarity_of_shapes(spark, monkeypatch):
+    """Labels of one side only are gaps; repeats and long sequences count as difflib counts them, and each shape is compared once."""
+    import difflib
+    rnd = random.Random(5)
+    some = lambda letters: rnd.sample(letters, rnd.randrange(1, len(letters)))
+    s = [(f"c{i}", some("ABCDEFuvwxyz")) for i in range(60)] + [(None, ["A", None, "B"]), ("r", list("ABABuA")), ("long", list("ABCu" * 60)), ("none", ["u"])]
+    p = [(f"g{i:02}", some("ABCDEF123456")) for i in range(40)] + [("n", ["A", None, "B"]), ("r", list("BAB1BA")), ("long", list("AB12" * 55) + ["C"])]
+    want = {(a, b): round(difflib.SequenceMatcher(None, x, y).ratio(), 3) for a, x in s for b, y in p if set(x) & set(y) - {None}}
+    cases = spark.createDataFrame(s, "case string, sequence array<string>")
+    books = spark.createDataFrame(p, "group string, attack_sequence array<string>")
+    got = {(r.case, r.group): r.score for r in I.sequence_similarity(cases, books, ["case"]).collect()}
+    assert got == want
+    best = {r.case: (r.group, r.score) for r in I.sequence_similarity(cases, books, ["case"], best=True).collect()}
+    assert best == {c: min(((g, v) for (k, g), v in want.items() if k == c), key=lambda x: (-x[1], x[0])) for c in {c for c, _ in want}}
+    # cases that differ in labels no playbook has are one comparison
+    many = spark.createDataFrame([(i, [f"u{i}", "A", f"v{i}", "B"]) for i in range(200)], "case int, sequence array<string>")
+    compared, one = [], I._shape_matches
+    monkeypatch.setattr(I, "_shape_matches", lambda a, b: compared.append(one(a, b).count()) or one(a, b))
+    assert I.sequence_similarity(many, books.where("group <> 'long'"), ["case"]).select("case").distinct().count() == 200
+    assert 0 < compared[0] <= len(p)
+
+
 def test_indicator_priority(spark):
     ddl = "ioc string, risk_score int, source string"
     local, feed = spark.createDataFrame([("1.1.1.1", 10, "local")], ddl), spark.createDataFrame([("1.1.1.1", 90, "feed"), ("2.2.2.2", 70, "feed")], ddl)
