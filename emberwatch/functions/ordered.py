@@ -8,6 +8,8 @@ summaries forward, and join the carry back. Results equal the plain window.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,6 +89,28 @@ def with_runs(df: DataFrame, keys: list[str], chunk: str, order: list[str], valu
     return out.withColumn(name, F.col("__in") + F.col("__before")).drop("__x", "__o", "__lag", "__new", "__in", "__before")
 
 
+def with_runs_between(df: DataFrame, keys: list[str], chunk: str, order: list[str], value: Column, starts: Callable[[Column, Column], Column],
+                      name: str, following: str) -> DataFrame:
+    """Number of the run a row belongs to (from 1 within the key) and the ``value`` of the row behind it, null at the end of the key.
+
+    ``starts(last, this)`` says from two neighbouring values whether a run starts. One window and one carry give both.
+    """
+    w = Window.partitionBy(*keys, chunk).orderBy(*order)
+    df = df.withColumns({"__x": value, "__o": F.struct(*order)}).withColumns({"__lag": F.lag("__x").over(w), "__lead": F.lead("__x").over(w)})
+    # the first row of a chunk counts once the chunk before is known
+    df = df.withColumn("__new", F.when(F.col("__lag").isNotNull() & starts(F.col("__lag"), F.col("__x")), 1).otherwise(0))
+    df = df.withColumn("__in", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    per_chunk = df.groupBy(*keys, chunk).agg(
+        F.min_by("__x", "__o").alias("__a"), F.max_by("__x", "__o").alias("__z"), F.sum("__new").alias("__n"))
+    over = Window.partitionBy(*keys).orderBy(chunk)
+    last = F.lag("__z").over(over)
+    per_chunk = per_chunk.withColumns({"__opens": F.when(last.isNull() | starts(last, F.col("__a")), 1).otherwise(0), "__after": F.lead("__a").over(over)})
+    carried = F.sum(F.col("__n") + F.col("__opens")).over(over) - F.col("__n")
+    out = _join_back(df, keys, chunk, per_chunk, [carried.alias("__before"), F.col("__after")])
+    out = out.withColumns({name: F.col("__in") + F.col("__before"), following: F.coalesce("__lead", "__after")})
+    return out.drop("__x", "__o", "__lag", "__lead", "__new", "__in", "__before", "__after")
+
+
 def with_last_known(df: DataFrame, keys: list[str], chunk: str, order: list[str], value: Column, name: str,
                     include_current: bool = True) -> DataFrame:
     """Latest non-null ``value`` of the key up to the current row (as-of lookup)."""

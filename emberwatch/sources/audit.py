@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberwatch.functions.columns import basename, contains_any, filled, iso
-from emberwatch.functions.ordered import line_chunk, with_last_known, with_previous, with_running_sum
+from emberwatch.functions.columns import basename, contains_any, fence, filled, iso
+from emberwatch.functions.ordered import line_chunk, with_last_known, with_runs_between
 from emberwatch.schema import build_events
 from emberwatch.session import apply_runtime_conf
 
@@ -28,6 +28,7 @@ SENSITIVE_COMMANDS = ["/etc/passwd", "/etc/shadow", ".ssh", "authorized_keys"]
 NOISE = ["sleep", "date", "uptime", "awk", "sed", "head", "tail", "cut", "tr"]
 WEB_USERS = ["www-data", "apache"]
 LONG_SLEEP = 60
+MAIN_KEYS = ["type", "ses", "addr", "res", "uid", "pid", "ppid", "comm", "exe", "auid"]
 # ---------------------------------------------------------------------------
 
 
@@ -80,15 +81,13 @@ def group_records(parsed: DataFrame, mode: str = "by_id", block: int | None = No
     else:
         chunk = line_chunk(F.col("line_no"), block) if block else line_chunk(F.col("line_no"))
         run = parsed.withColumns({"__chunk": chunk, "__eoe": F.coalesce(F.try_element_at("kv", F.lit("type")) == "EOE", F.lit(False))})
-        run = with_previous(run, ["file"], "__chunk", ["line_no"], {"__pid": F.col("audit_id"), "__pe": F.col("__eoe")})
-        start = F.col("__pid").isNull() | (F.col("__pid") != F.col("audit_id")) | F.coalesce("__pe", F.lit(False))
-        run = with_running_sum(run, ["file"], "__chunk", ["line_no"], F.when(start, F.lit(1)).otherwise(F.lit(0)), "__run")
-        groups = run.groupBy("file", "__run").agg(
-            *agg, F.min_by("ts_epoch", "line_no").alias("ts_epoch"), F.first("audit_id").alias("audit_id"), F.max("__eoe").alias("__closed"), F.max("line_no").alias("last_line"))
+        value = F.struct(F.col("audit_id").alias("id"), F.col("__eoe").alias("eoe"))
+        run = with_runs_between(run, ["file"], "__chunk", ["line_no"], value, lambda last, this: (last["id"] != this["id"]) | last["eoe"], "__run", "__next")
         # what starts right behind the end of a run decides whether the run was handed over
-        nxt = run.where(start).select("file", (F.col("__run") - 1).alias("__run"), F.col("__eoe").alias("__next_eoe"), F.lit(True).alias("__has_next"))
-        out = groups.join(nxt, ["file", "__run"], "left").where(
-            F.col("__closed") | (F.coalesce("__has_next", F.lit(False)) & ~F.coalesce("__next_eoe", F.lit(False))))
+        handed = F.coalesce((F.col("__next.id") != F.col("audit_id")) & ~F.col("__next.eoe"), F.lit(False))
+        groups = run.groupBy("file", "__run").agg(
+            *agg, F.min_by("ts_epoch", "line_no").alias("ts_epoch"), F.first("audit_id").alias("audit_id"), F.max("__eoe").alias("__closed"), F.max(handed).alias("__handed"))
+        out = groups.where(F.col("__closed") | F.col("__handed"))
     ordered = F.array_sort("__r", lambda a, b: (a["line_no"] - b["line_no"]).cast("int"))
     return out.select("file", "audit_id", "ts_epoch", "first_line", F.transform(ordered, lambda r: r["kv"]).alias("records"))
 
@@ -113,29 +112,33 @@ def group_events(groups: DataFrame, host: str | Column, block: int | None = None
     })
     g = g.withColumn("main", F.coalesce("sys", F.get(rec, F.lit(0))))
     main = F.col("main")
-    kind = F.coalesce(_get(main, "type"), F.lit("UNKNOWN"))
-    proc = kind.isin(PROCESS_TYPES) | F.col("sys").isNotNull()
+    # arguments a0, a1, ... up to the first gap
+    ex = F.col("exec")
+    count = F.coalesce(F.size(F.map_keys(ex)), F.lit(0))
+    args = F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(0))), lambda i: F.try_element_at(ex, F.concat(F.lit("a"), i.cast("string"))))
+    g = g.withColumn("__args", args)
+    args = F.col("__args")
+    upto = F.array_position(F.transform(args, lambda a: a.isNull()), True) - 1
+    joined = F.when(ex.isNotNull() & (upto > 0), F.array_join(F.slice(args, F.lit(1), upto.cast("int")), " "))
+    # the records are searched once; filters and columns behind the fence read the texts found
+    texts = {"__has_sys": F.col("sys").isNotNull(), "__command": F.coalesce(filled(joined), _get(main, "proctitle"), _get(main, "cmdline")),
+             "__name": filled(_get(F.col("pth"), "name")), "__cwd": _get(F.col("cwd"), "cwd"), **{f"__m_{k}": _get(main, k) for k in MAIN_KEYS}}
+    g = fence(g.withColumns(texts).drop("sys", "exec", "cwd", "pth", "main", "__args"), list(texts))
+    of_main = lambda k: F.col(f"__m_{k}")
+    kind = F.coalesce(of_main("type"), F.lit("UNKNOWN"))
+    proc = kind.isin(PROCESS_TYPES) | F.col("__has_sys")
     login = ~proc & kind.isin(LOGIN_TYPES)
-    ses = _get(main, "ses")
+    ses = of_main("ses")
     ses = F.when((proc | login) & (F.coalesce(ses, F.lit("")) != "") & (ses != NO_SESSION), ses)
-    addr = F.when(login, F.coalesce(_get(main, "addr"), F.lit("localhost")))
+    addr = F.when(login, F.coalesce(of_main("addr"), F.lit("localhost")))
     g = g.withColumns({"__proc": proc, "__login": login, "__ses": ses, "__addr": addr})
     chunk = line_chunk(F.col("first_line"), block) if block else line_chunk(F.col("first_line"))
     g = with_last_known(g.withColumn("__chunk", chunk), ["file", "__ses"], "__chunk", ["first_line"],
                         F.when(F.col("__ses").isNotNull() & ~F.col("__addr").isin(NOT_AN_ADDRESS), F.col("__addr")), "__known")
     proc, login = F.col("__proc"), F.col("__login")
 
-    # arguments a0, a1, ... up to the first gap
-    ex = F.col("exec")
-    count = F.coalesce(F.size(F.map_keys(ex)), F.lit(0))
-    args = F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(0))), lambda i: F.try_element_at(ex, F.concat(F.lit("a"), i.cast("string"))))
-    upto = F.array_position(F.transform(args, lambda a: a.isNull()), True) - 1
-    joined = F.when(ex.isNotNull() & (upto > 0), F.array_join(F.slice(args, F.lit(1), upto.cast("int")), " "))
-    command = F.coalesce(filled(joined), _get(main, "proctitle"), _get(main, "cmdline"))
-    path = filled(_get(F.col("pth"), "name"))
-    uid = _get(main, "uid")
-    g = g.withColumns({"__cmd": F.when(proc, command), "__path": F.when(proc, path), "__uid": F.when(proc, uid)})
-    failed = F.coalesce(_get(main, "res") == "failed", F.lit(False))
+    g = g.withColumns({"__cmd": F.when(proc, F.col("__command")), "__path": F.when(proc, F.col("__name")), "__uid": F.when(proc, of_main("uid"))})
+    failed = F.coalesce(of_main("res") == "failed", F.lit(False))
     severity = F.when(failed, F.lit(4)).otherwise(F.lit(1))
     severity = F.when(F.col("__uid") == "0", F.greatest(severity, F.lit(8))).otherwise(severity)
     hot = contains_any(F.coalesce(filled(F.col("__path")), filled(F.col("__cmd")), F.lit("")), SENSITIVE)
@@ -147,14 +150,14 @@ def group_events(groups: DataFrame, host: str | Column, block: int | None = None
         "event.outcome": F.when(failed, "failure").otherwise("success"),
         "event.severity": F.when(hot, F.lit(10)).otherwise(severity),
         "detection.severity": F.when(hot, "critical"),
-        "process.pid": F.when(proc, F.coalesce(_get(main, "pid").try_cast("int"), F.lit(0))),
-        "process.parent.pid": F.when(proc, _get(main, "ppid").try_cast("int")),
-        "process.name": F.when(proc, F.coalesce(_get(main, "comm"), F.lit("unknown"))),
-        "process.executable": F.when(proc, filled(_get(main, "exe"))),
+        "process.pid": F.when(proc, F.coalesce(of_main("pid").try_cast("int"), F.lit(0))),
+        "process.parent.pid": F.when(proc, of_main("ppid").try_cast("int")),
+        "process.name": F.when(proc, F.coalesce(of_main("comm"), F.lit("unknown"))),
+        "process.executable": F.when(proc, filled(of_main("exe"))),
         "process.command_line": filled(F.col("__cmd")),
-        "process.cwd": F.when(proc, _get(F.col("cwd"), "cwd")),
+        "process.cwd": F.when(proc, F.col("__cwd")),
         "process.start_time": F.when(proc, stamp),
-        "user.id": F.col("__uid"), "user.name": F.when(proc, _get(main, "auid")), "user.session_id": F.col("__ses"),
+        "user.id": F.col("__uid"), "user.name": F.when(proc, of_main("auid")), "user.session_id": F.col("__ses"),
         "source.ip": F.when(login, F.col("__addr")).when(proc, F.col("__known")),
         "file.path": F.col("__path"), "file.name": basename(F.col("__path")),
         "metadata.atlas_label": F.when(F.col("__path").contains("/tmp"), "TEMP_FILE"),
