@@ -248,6 +248,35 @@ def test_overlap_attribution(spark):
     assert verdict == {"c": ("A", 0.617), "d": ("Unclassified", 0.0)}
 
 
+def test_scores_of_equal_technique_sets(spark):
+    """Cases with the same techniques are scored once, and the best groups are picked before the cases are joined."""
+    cases = spark.createDataFrame([(c, t) for c in range(40) for t in ("T1", "T2", "T3")[:1 + c % 3]] + [(None, "T1")], "case int, technique_id string")
+    groups = spark.createDataFrame([(g, t) for g, ts in {"A": "12", "B": "123", "C": "1", "D": "3"}.items() for t in (f"T{x}" for x in ts)], "group string, technique_id string")
+    full = I.overlap_scores(cases, groups, ["case"])
+    want = {}
+    for r in full.collect():
+        want.setdefault(r.case, []).append((-r.score, r.group, tuple(r.matched_ttps)))
+    assert set(want) == set(range(40)) and (("T1", "T2") in {m for _, _, m in want[2]})
+    for n in (1, 2):
+        got = {}
+        for r in I.overlap_scores(cases, groups, ["case"], best=n).collect():
+            got.setdefault(r.case, []).append((-r.score, r.group, tuple(r.matched_ttps)))
+        assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v)[:n] for k, v in want.items()}
+
+
+def test_audit_steps_are_not_repeated(spark):
+    """Runs of records take one join of summaries; filters behind the events read texts, not the records."""
+    lines = spark.createDataFrame([("f", i, f"type={t} msg=audit(1.5:{n}): ses=1 comm=\"ls\" a0=\"ls\"") for i, (t, n) in enumerate(
+        [("SYSCALL", 1), ("EXECVE", 1), ("EOE", 1), ("SYSCALL", 2), ("CWD", 2), ("SYSCALL", 3), ("EOE", 9), ("EOE", 9), ("SYSCALL", 4)])], "file string, line_no long, value string")
+    parsed = audit.parse_lines(lines)
+    for block in (1, 2, 4, 100):
+        runs = audit.group_records(parsed, "contiguous", block)
+        assert sorted((r.audit_id, r.first_line, len(r.records)) for r in runs.collect()) == [("1", 0, 3), ("2", 3, 2), ("9", 6, 1), ("9", 7, 1)]
+    assert runs._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    plan = audit.ingest_filter(audit.group_events(audit.group_records(parsed), "h"))._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Filter" in x and "records" in x]
+
+
 def test_sequence_similarity_equals_difflib(spark):
     import difflib
     rnd = random.Random(2)
