@@ -179,3 +179,60 @@ def test_technique_sets_equal_the_pairs(spark):
                                   "source_type string, source_ref string, relationship_type string, target_type string, target_ref string, revoked boolean")
     want = {r.group_ref: r["count"] for r in K.techniques_by_software(objects, links).groupBy("group_ref").count().collect()}
     assert {r.group_ref: r.techniques for r in K.technique_counts_by_software(objects, links).collect()} == want and want
+
+
+def test_expansion_walks_slices(events, monkeypatch):
+    """Slices give the depths of the hops, whatever their size, also where ids repeat; the rounds do not grow with the hops."""
+    docs = _random_events(150, 21)
+    for i, d in enumerate(docs):
+        d["event"]["id"] = f"e{i if i % 10 else i // 30}"
+    slim = C.slim(events(*docs))
+    depth, seen, frontier, d = {0: 0}, {"e0"}, {0}, 0
+    while frontier:
+        d += 1
+        frontier = {j for i in frontier for j in range(len(docs)) if docs[j]["event"]["id"] not in seen and _brute(docs[i], docs[j], 20)}
+        seen |= {docs[j]["event"]["id"] for j in frontier}
+        depth.update({j: d for j in frontier})
+    assert max(depth.values()) > 2
+    for rows in (7, 10_000):
+        assert {r.seq: r.depth for r in C.expand(slim.where("seq = 0"), slim, 20, slice_rows=rows).collect()} == depth
+    assert {r.seq: r.depth for r in C.expand(slim.where("seq = 0"), slim, 20, 2, 7).collect()} == {k: v for k, v in depth.items() if v <= 2}
+    chain = [{"@timestamp": at(20 * i), "event": {"id": f"c{i}", "category": "process"}, "host": {"name": "h"},
+              "process": {"pid": 100 + i, "parent": {"pid": 99 + i}}} for i in range(60)]
+    kept, one = [], C.cut_lineage
+    monkeypatch.setattr(C, "cut_lineage", lambda df: kept.append(1) or one(df))
+    slim = C.slim(events(*chain))
+    assert C.expand(slim.where("seq = 0"), slim, 30).count() == 60 and len(kept) < 20
+
+
+def test_technique_sets_move_as_arrays(spark):
+    """No bitmap of thousands of bytes for a handful of techniques."""
+    from emberwatch.operators import knowledge as K
+
+    objects = spark.createDataFrame([(f"t{i}", "attack-pattern", f"T{i}") for i in range(9)], "id string, type string, attack_id string")
+    links = spark.createDataFrame([("intrusion-set", "g", "uses", "tool", "s", False)] + [("tool", "s", "uses", "attack-pattern", f"t{i % 9}", False) for i in range(20)],
+                                  "source_type string, source_ref string, relationship_type string, target_type string, target_ref string, revoked boolean")
+    out = K.technique_counts_by_software(objects, links)
+    assert [tuple(r) for r in out.collect()] == [("g", 9)]
+    assert "bitmap" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tables_are_spread_by_rows(spark):
+    from emberwatch.sources.tables import use_all_cores
+
+    assert use_all_cores(spark.range(1000).coalesce(1), rows=10).rdd.getNumPartitions() == 100
+    assert use_all_cores(spark.range(1000).coalesce(1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_queries_run_in_small_tasks(spark):
+    from emberwatch.plans import registry
+    from emberwatch.session import QUERY_CONF
+
+    was = {k: spark.conf.get(k, None) for k in QUERY_CONF}
+    registry.query("of the test")(lambda spark, folder: None)
+    try:
+        registry.QUERIES.pop("of the test")(spark, "")
+        assert {k: spark.conf.get(k) for k in QUERY_CONF} == QUERY_CONF
+    finally:
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
