@@ -83,8 +83,8 @@ def group_records(parsed: DataFrame, mode: str = "by_id", block: int | None = No
         run = parsed.withColumns({"__chunk": chunk, "__eoe": F.coalesce(F.try_element_at("kv", F.lit("type")) == "EOE", F.lit(False))})
         value = F.struct(F.col("audit_id").alias("id"), F.col("__eoe").alias("eoe"))
         run = with_runs_between(run, ["file"], "__chunk", ["line_no"], value, lambda last, this: (last["id"] != this["id"]) | last["eoe"], "__run", "__next")
-        # what starts right behind the end of a run decides whether the run was handed over
-        handed = F.coalesce((F.col("__next.id") != F.col("audit_id")) & ~F.col("__next.eoe"), F.lit(False))
+        # what starts right behind the end of a run decides whether the run was handed over; lines of no known file hand nothing over
+        handed = F.coalesce(F.col("file").isNotNull() & (F.col("__next.id") != F.col("audit_id")) & ~F.col("__next.eoe"), F.lit(False))
         groups = run.groupBy("file", "__run").agg(
             *agg, F.min_by("ts_epoch", "line_no").alias("ts_epoch"), F.first("audit_id").alias("audit_id"), F.max("__eoe").alias("__closed"), F.max(handed).alias("__handed"))
         out = groups.where(F.col("__closed") | F.col("__handed"))

@@ -272,6 +272,8 @@ def test_audit_steps_are_not_repeated(spark):
     for block in (1, 2, 4, 100):
         runs = audit.group_records(parsed, "contiguous", block)
         assert sorted((r.audit_id, r.first_line, len(r.records)) for r in runs.collect()) == [("1", 0, 3), ("2", 3, 2), ("9", 6, 1), ("9", 7, 1)]
+    nameless = audit.group_records(parsed.withColumn("file", F.lit(None).cast("string")), "contiguous")
+    assert sorted(r.audit_id for r in nameless.collect()) == ["1", "9", "9"]  # only what an EOE closes
     assert runs._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
     plan = audit.ingest_filter(audit.group_events(audit.group_records(parsed), "h"))._jdf.queryExecution().optimizedPlan().toString()
     assert not [x for x in plan.splitlines() if "Filter" in x and "records" in x]
