@@ -4,9 +4,12 @@ import collections
 import hashlib
 import os
 import random
+import re
+import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import xxhash
@@ -181,6 +184,49 @@ def test_all_alignments_are_tried():
     assert passages.matches(a, b, [([5, 75], [5, 115, 165])], 46, 0.8) == {(70, 150, 160, 240)}
 
 
+def test_sets_of_all_intervals():
+    rnd = np.random.default_rng(8)
+    for _ in range(200):
+        m = int(rnd.integers(1, 8))
+        a, b = rnd.integers(0, 12, 90).astype(np.uint64), rnd.integers(0, 12, 90).astype(np.uint64)
+        runs = np.stack([*(np.cumsum(rnd.integers(4, 9, m)) for _ in range(2)), rnd.integers(1, 5, m)], axis=1)
+        both, either = passages._common(a, b, runs)
+        for i in range(m):
+            for j in range(i, m):
+                x, y = (set(v[runs[i, k]:runs[j, k] + runs[j, 2]].tolist()) for k, v in enumerate((a, b)))
+                assert (both[i, j], either[i, j]) == (len(x & y), len(x | y))
+
+
+def test_alignments_of_periodic_texts_take_seconds():
+    """3,600 alignments of two texts that repeat a line each, similar nowhere: minutes where every alignment walks all intervals."""
+    rnd = np.random.default_rng(9)
+    line, one, two = (rnd.integers(0, 1 << 60, n).astype(np.uint64) for n in (12, 19, 19))
+    a, b = np.tile(np.concatenate([line, one]), 60), np.tile(np.concatenate([line, two]), 60)
+    at, began = list(range(4, len(a), 31)), time.process_time()
+    assert passages.matches(a, b, [(at, at)], 46, 0.8) == set()
+    assert time.process_time() - began < 8
+
+
+def test_windows_of_many_texts_at_once(texts):
+    """Words and windows of texts side by side are those of each text alone."""
+    import xxhash
+
+    texts = [*[t or "" for t in texts], "", "A\x1fb \u0130 c" + "\x0b" * 3 + "D", *[" ".join("x" * (k + n) for k in range(40)) for n in range(30)], "é 漢 " * 30]
+    texts = pa.array(texts)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), texts], ["rid", "t"])
+    got = [(r["rid"], r["key"], r["at"]) for part in passages._windows([batch]) for r in part.to_pylist()]
+    want = []
+    for k, t in enumerate(texts.to_pylist()):
+        raw = t.encode()
+        words = raw.lower().split()
+        start = np.array([m.start() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)], np.int64)
+        hashes = passages.word_hashes(np.frombuffer(raw.lower(), np.uint8), start, start + [len(w) for w in words])
+        assert hashes.tolist() == [xxhash.xxh64_intdigest(w) for w in words]
+        h, _, centre, _ = passages.compact_windows(passages.grams_of(passages.shingles_of(t)), passages.RUN, 1)
+        want += [(k, key, centre[h == key].tolist()) for key in np.unique(h).tolist()]
+    assert got == want
+
+
 def test_keys_meet_for_certain():
     """Every similar pair has a key in common, wherever its edits are."""
     rnd = random.Random(14)
