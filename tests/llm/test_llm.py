@@ -304,6 +304,19 @@ def test_components_of_a_chain(spark):
     assert components(links.where("u < 0")).count() == 0
 
 
+def test_a_piece_search_ends_where_nothing_merges(monkeypatch):
+    """A word before different marks is searched once where no piece holds its last character and the mark; ids stay the model's."""
+    import sentencepiece
+
+    own, sp = pieces.Pieces.load(queries.model_file()), sentencepiece.SentencePieceProcessor(model_file=queries.model_file())
+    marks = [c for c in "|;§¶^" if "e" + c not in own.pairs]
+    searched, search = [], own._whole
+    monkeypatch.setattr(own, "_whole", lambda part: searched.append(part) or search(part))
+    text = " ".join("there" + c for c in marks)
+    assert own.encode(text).tolist() == sp.encode(text)
+    assert len(marks) > 1 and searched.count(pieces.SPACE + "there") == 1 and not any("e" + c in x for x in searched for c in marks)
+
+
 def test_pieces_equal_the_model_and_come_back(docs, texts, empty):
     sentencepiece = pytest.importorskip("sentencepiece")
     sp, own = sentencepiece.SentencePieceProcessor(model_file=queries.model_file()), pieces.Pieces.load(queries.model_file())
