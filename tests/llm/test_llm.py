@@ -207,6 +207,41 @@ def test_alignments_of_periodic_texts_take_seconds():
     assert time.process_time() - began < 8
 
 
+def test_hopeless_pairs_have_no_passages():
+    """Pairs left out unread are similar nowhere, and bounds of interval pairs hold."""
+    rnd, left_out = np.random.default_rng(21), 0
+    for _ in range(120):
+        words = rnd.integers(0, 1 << 60, int(rnd.integers(40, 90))).astype(np.uint64)
+        a, b = np.tile(words, 3), np.tile(words, 3)
+        b[rnd.integers(0, len(b), int(rnd.integers(0, 60)))] = rnd.integers(0, 1 << 60, 1).astype(np.uint64)
+        few = [passages.fewest(x, 46) for x in (a, b)]
+        assert few == [min(len(set(x[k:k + 46].tolist())) for k in range(len(x) - 45)) for x in (a, b)]
+        out = passages.hopeless(np.unique(a), np.unique(b), *few, 0.8)
+        left_out += out
+        assert not (out and brute_passages(a, b))
+        pair, ends = passages.Alignments(a, b), np.sort(rnd.integers(0, len(a) + 1, (6, 2)), axis=0)
+        reach = pair.within_reach(ends[:3], ends[3:], 0.8)
+        for i in range(3):
+            for j in range(3):
+                (s1, s2), (e1, e2) = ends[i], ends[3 + j]
+                x, y = set(a[s1:e1].tolist()), set(b[s2:e2].tolist())
+                assert reach[i, j] or len(x & y) < 0.8 * len(x | y)
+    one, two = (rnd.integers(0, 1 << 60, 60).astype(np.uint64) for _ in range(2))
+    two[20:40] = one[20:40]
+    assert passages.hopeless(np.unique(one), np.unique(two), 46, 46, 0.8) and not passages.hopeless(np.unique(one), np.unique(one), 46, 46, 0.8)
+
+
+def test_plans_of_loops_keep_their_size(spark):
+    """The estimated size of a table that feeds itself is that of its rows: as a product of all rounds it has millions of digits and planning never ends."""
+    from emberwatch.session import settled
+
+    now = spark.range(20).selectExpr("id AS u", "id + 1 AS v")
+    for _ in range(4):
+        now = settled(now.alias("a").join(now.alias("b"), F.expr("a.u = b.u")).selectExpr("a.u", "b.v"))
+    assert now._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bitLength() < 40
+    assert sorted(map(tuple, now.collect())) == [(k, k + 1) for k in range(20)]
+
+
 def test_windows_of_many_texts_at_once(texts):
     """Words and windows of texts side by side are those of each text alone."""
     import xxhash
