@@ -521,3 +521,56 @@ def test_pipeline_stages(spark):
     assert queries.load(spark, SF, "documents").count() * 0.5 < docs.count()
     ids = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert ids.count() == docs.count() and ids.where("not round_trip").count() == 0
+
+
+def test_reachable_places_hold_every_passage():
+    """No similar interval lies outside the marked places, and comparisons that leave the others out find the same."""
+    rnd, left_out = np.random.default_rng(31), 0
+    for _ in range(80):
+        a, b = (rnd.integers(0, 1 << 60, int(rnd.integers(60, 260))).astype(np.uint64) for _ in range(2))
+        n = int(rnd.integers(20, 60))
+        a[:n] = b[:n]
+        b[rnd.integers(0, n, int(rnd.integers(1, 4)))] = 7
+        a[55:] = np.tile(a[:20], 13)[:len(a) - 55] if rnd.random() < 0.3 else a[55:]
+        (all_a, first_a), (all_b, first_b) = passages.firsts(a), passages.firsts(b)
+        assert all_a.tolist() == sorted(set(a.tolist())) and first_a[-1] == len(all_a)
+        inside = passages.reachable(passages._shared(a, all_b), first_a, 46, 0.8), passages.reachable(passages._shared(b, all_a), first_b, 46, 0.8)
+        met = [(np.flatnonzero(a == v).tolist(), np.flatnonzero(b == v).tolist()) for v in np.intersect1d(a, b)[::5]]
+        found = passages.matches(a, b, met, 46, 0.8)
+        left_out += any(x is None for x in inside)
+        assert not found if any(x is None for x in inside) else passages.matches(a, b, met, 46, 0.8, *inside) == found
+        for a1, a2, b1, b2 in found:
+            assert inside[0][a1:a2].all() and inside[1][b1:b2].all()
+    assert left_out
+
+
+def test_periodic_texts_are_followed_once():
+    """A chain of many runs without a similar interval is not weighed again for each of its runs."""
+    rnd = np.random.default_rng(8)
+    word = rnd.integers(0, 1 << 60, 51).astype(np.uint64)
+    other = word.copy()
+    other[[3, 9, 14, 20, 25, 31, 36, 42, 47]] = rnd.integers(0, 1 << 60, 9).astype(np.uint64)
+    a, b = np.tile(word, 12), np.tile(other, 12)
+    met, weighed, one = [(np.flatnonzero(a == word[5]).tolist(), np.flatnonzero(b == word[5]).tolist())], [], passages.best_match
+    passages.best_match = lambda *x: weighed.append(1) or one(*x)
+    try:
+        assert passages.matches(a, b, met, 46, 0.8) == set()
+    finally:
+        passages.best_match = one
+    assert len(weighed) < len(met[0][0]) * len(met[0][1]) / 3
+
+
+def test_frequent_lines_make_no_pairs(spark, monkeypatch):
+    """Windows of a key in many documents meet by what surrounds them: a line alone connects nothing, passages around it are found, and the work does not grow with the square."""
+    rnd = np.random.default_rng(12)
+    some = lambda n: " ".join(f"w{x}" for x in rnd.integers(0, 1 << 40, n))
+    line = some(24)
+    rows = [(i, f"{some(60)} {line} {some(60)}") for i in range(120)]
+    block = f"{some(20)} {line} {some(20)}"
+    rows += [(1000 + i, f"{some(70)} {block} {some(70)}") for i in range(3)]
+    compared, one = [], passages._compared
+    monkeypatch.setattr(passages, "_compared", lambda pairs, *x: compared.append(pairs.select("a", "b").distinct().count()) or one(pairs, *x))
+    got = {r["doc_id"]: r for r in passages.near_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i]["n_repeated"] == 0 and got[i]["class_id"] == i for i in range(120))
+    assert all(got[1000 + i]["class_id"] == 1000 and got[1000 + i]["n_repeated"] >= 64 for i in range(3))
+    assert sum(compared) < 1500
